@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinprint.llm import components, neardup, setjoin
+from kinprint.llm import components, mixing, neardup, packing, quality, setjoin, spans, terms, tokens
 from kinprint.session import Workspace
 from kinprint.sources.tables import counted_features, table
 
@@ -51,5 +51,71 @@ def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     return neardup.near_copy_groups(_sets(spark, folder, "hashes"), 0.75, Workspace(spark, "p4"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p3_found, p3_links, p4_found)}
+def _tf(spark: SparkSession, folder: str) -> DataFrame:
+    return counted_features(spark, folder, "tf")
+
+
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    """The most telling keyword of every counted row, scored n * ln(1 + N / df)."""
+    return terms.top_term(terms.scored_terms(_tf(spark, folder), Workspace(spark, "p5"), "tf_idf")).select("rid", "term")
+
+
+def p5_log_entropy(spark: SparkSession, folder: str) -> DataFrame:
+    """Every keyword of every counted row with its log-entropy score."""
+    scored = terms.scored_terms(_tf(spark, folder), Workspace(spark, "p5e"))
+    return scored.select("rid", "term", "n", F.round("score", 6).alias("score"))
+
+
+def _sequences(spark: SparkSession, folder: str) -> DataFrame:
+    return counted_features(spark, folder, "base_hashes").withColumnRenamed("base_hashes", "seq")
+
+
+def p6_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Stretches of base_hashes that also stand in another submission."""
+    return spans.shared_spans(_sequences(spark, folder), Workspace(spark, "p6"))
+
+
+def p6_shares(spark: SparkSession, folder: str) -> DataFrame:
+    """Per counted row how much of its token sequence stands in another submission."""
+    rows = _sequences(spark, folder)
+    return spans.shared_shares(rows, spans.shared_spans(rows, Workspace(spark, "p6s")))
+
+
+def _token_counts(spark: SparkSession, folder: str, work: Workspace) -> DataFrame:
+    return work.write(tokens.with_token_counts(table(spark, folder, "documents").where(F.col("doc_id").isNotNull()).select("doc_id", "source", "text")))
+
+
+def p7_packed(spark: SparkSession, folder: str) -> DataFrame:
+    """All texts in containers of every capacity of pack_specs."""
+    return packing.packed(_token_counts(spark, folder, Workspace(spark, "p7")), table(spark, folder, "pack_specs"))
+
+
+def p7_report(spark: SparkSession, folder: str) -> DataFrame:
+    """Containers and used room per capacity."""
+    return packing.container_report(p7_packed(spark, folder), table(spark, folder, "pack_specs"))
+
+
+def p8_mixture(spark: SparkSession, folder: str) -> DataFrame:
+    """The texts of the mixture and how often each is taken."""
+    work = Workspace(spark, "p8")
+    return mixing.mixture(_token_counts(spark, folder, work), table(spark, folder, "mix_targets"), work)[0]
+
+
+def p8_shares(spark: SparkSession, folder: str) -> DataFrame:
+    """Shares wanted and reached per source."""
+    work = Workspace(spark, "p8s")
+    return mixing.mixture(_token_counts(spark, folder, work), table(spark, folder, "mix_targets"), work)[1]
+
+
+def p9_quality(spark: SparkSession, folder: str) -> DataFrame:
+    """Statistics, distance from prose and contributions of every document."""
+    return quality.text_quality(table(spark, folder, "documents"), table(spark, folder, "common_words"), Workspace(spark, "p9"))
+
+
+def p9_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents that are not mostly running sentences."""
+    return quality.not_prose(p9_quality(spark, folder))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p3_found, p3_links, p4_found, p5_found, p5_log_entropy, p6_found, p6_shares, p7_packed, p7_report, p8_mixture, p8_shares, p9_quality, p9_found)}
 SQL: dict[str, str] = {}
