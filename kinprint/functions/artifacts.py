@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from kinprint.functions.lexer import Lexed, code_units, language_family, lex
+from kinprint.functions.lexer import BLANK, Lexed, code_units, language_family, lex
 
 SCHEMA_VERSION = 3
 MAX_IDENTS, MAX_COMMENT_HASHES, MAX_FUNCS, MAX_BODY, MAX_BLOCK_LINES = 512, 256, 128, 20_000, 64
@@ -31,10 +31,9 @@ _OPEN = {("p", "{"), ("p", "("), ("p", "["), ("w", "begin")}
 _CLOSE = {("p", "}"), ("p", ")"), ("p", "]"), ("w", "end")}
 
 _FLAG = re.compile(rf"(?<![A-Za-z0-9_])(?:{'|'.join(FLAG_NAMES)})(?![A-Za-z0-9_])")
-_BLANK = " \t\n\r\f\v                 　﻿"
-_BLANKS = re.compile(f"[{_BLANK}]+")
+_BLANKS = re.compile(f"[{BLANK}]+")
 _MARK = re.compile(r"//|/\*|\*/|^\{|\}$|^\(\*|\*\)$|^#")
-_DEF = re.compile(rf"^([{_BLANK}]*)(?:async[{_BLANK}]+)?def[{_BLANK}]+([A-Za-z0-9_]+)[{_BLANK}]*\(")
+_DEF = re.compile(rf"^([{BLANK}]*)(?:async[{BLANK}]+)?def[{BLANK}]+([A-Za-z0-9_]+)[{BLANK}]*\(")
 
 OFFSET, PRIME, MASK = 2166136261, 16777619, 0xFFFFFFFF
 _HASHED: dict[str, int] = {}
@@ -68,7 +67,7 @@ def kgrams(base: np.ndarray, k: int) -> np.ndarray:
 
 def well_formed(units: str) -> str:
     """Code units as text that can be encoded: halves of a pair become U+FFFD."""
-    return re.sub("[\ud800-\udfff]", "�", units)
+    return re.sub("[\ud800-\udfff]", "\ufffd", units)
 
 
 def token_text(values: list[str]) -> str:
@@ -143,7 +142,7 @@ def _indented_functions(units: str) -> Iterator[tuple[str, list[str]]]:
             i += 1
             continue
         j = i + 1
-        while j < len(lines) and (not lines[j].strip(_BLANK) or len(lines[j]) - len(lines[j].lstrip(" \t")) > len(m[1])):
+        while j < len(lines) and (not lines[j].strip(BLANK) or len(lines[j]) - len(lines[j].lstrip(" \t")) > len(m[1])):
             j += 1
         yield m[2], lex("\n".join(lines[i:j]), "python").values
         i = j

@@ -36,6 +36,10 @@ PLAIN_OPERATORS = "<= >= == != && || += -= *= /= %= -> ++ -- ::".split()
 FAMILIES = {"c": C_LANGS, "python": PYTHON_LANGS, "pascal": PASCAL_LANGS}
 
 
+#: Characters that count as blank when text is trimmed or collapsed.
+BLANK = " \t\n\r\f\v\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
+
+
 def family_regex(family: str) -> str:
     """A pattern for lower-cased language keys of a family: the key alone or followed by '.' or '-' and anything."""
     return "^(" + "|".join(re.escape(x) for x in FAMILIES[family]) + r")([.-].*)?$"
@@ -101,7 +105,7 @@ _LINE_REST, _STATEMENT = re.compile(_REST_OF_LINE), re.compile(r"[^;\n]*;?")
 
 def code_units(text: str) -> str:
     """The text as UTF-16 code units, one character each: lengths and hashes count these."""
-    if not text or max(text) <= "￿":
+    if not text or max(text) <= "\uffff":
         return text
     return "".join(map(chr, memoryview(text.encode("utf-16-le", "surrogatepass")).cast("H")))
 

@@ -47,8 +47,8 @@ def _picked(pieces: list[tuple[Column, Column]], otherwise: Column) -> Column:
     return out
 
 
-def middle_rows(df: DataFrame, keys: list[str], order: list[str], work: Workspace, sortable: int = SORTABLE) -> DataFrame:
-    """For each key the row number floor((n+1)/2) of its n rows in ascending order.
+def ranked_rows(df: DataFrame, keys: list[str], order: list[str], work: Workspace, rank: Column, sortable: int = SORTABLE) -> DataFrame:
+    """For each key its row of a rank (from 1) in ascending order; rank is an expression of __n, the key's rows.
 
     df holds the columns keys + order only, no row twice and no null in order;
     keys may be null and nulls form a group.  An empty input gives an empty result.
@@ -61,7 +61,7 @@ def middle_rows(df: DataFrame, keys: list[str], order: list[str], work: Workspac
     """
     low, high = [f"__lo{i}" for i in range(len(order))], [f"__hi{i}" for i in range(len(order))]
     bounds = [f for c, a, b in zip(order, low, high) for f in (F.min(c).alias(a), F.max(c).alias(b))]
-    state = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"), *bounds).withColumn("__rank", F.expr("(__n + 1) div 2"))
+    state = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"), *bounds).withColumn("__rank", rank.cast("bigint"))
     state = work.write(state)
 
     def inside(s: DataFrame) -> DataFrame:
@@ -90,6 +90,11 @@ def middle_rows(df: DataFrame, keys: list[str], order: list[str], work: Workspac
     return ranked.where(F.col("__i") == F.col("__rank")).select(*keys, *order)
 
 
+def middle_rows(df: DataFrame, keys: list[str], order: list[str], work: Workspace, sortable: int = SORTABLE) -> DataFrame:
+    """For each key the row number floor((n+1)/2) of its n rows in ascending order."""
+    return ranked_rows(df, keys, order, work, F.expr("(__n + 1) div 2"), sortable)
+
+
 def middle_pairs(pairs: DataFrame, work: Workspace, sortable: int = SORTABLE) -> DataFrame:
     """The middle pair by similarity of every (tid, pid): tid, pid, rid1, rid2.
 

@@ -1,4 +1,7 @@
-"""The registered queries of the engine, and the SQL that checks them."""
+"""The registered queries of the engine, and the SQL that checks them.
+
+Modules of queries register themselves here; importing this module loads them all.
+"""
 
 from __future__ import annotations
 
@@ -6,16 +9,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kinprint.operators import skew
-from kinprint.session import Workspace
-from kinprint.sources.tables import table
-
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
 
 def query(sql: str | None = None):
-    """Register a query under its name, with its SQL if it has one."""
+    """Register a query under its name, with its SQL if plain SQL can answer it."""
 
     def put(f):
         QUERIES[f.__name__] = f
@@ -26,23 +25,4 @@ def query(sql: str | None = None):
     return put
 
 
-@query("""
-with once as (
-  select tid, pid, least(rid1, rid2) rid1, greatest(rid1, rid2) rid2, max(similarity) similarity
-  from pairs where rid1 is not null and rid2 is not null and similarity is not null and rid1 <> rid2 group by all),
-ranked as (
-  select *, row_number() over (partition by tid, pid order by similarity, rid1, rid2) i, count(*) over (partition by tid, pid) n from once)
-select tid, pid, rid1, rid2 from ranked where i = (n + 1) // 2""")
-def p2_found(spark: SparkSession, folder: str) -> DataFrame:
-    """The middle pair by similarity of every (tid, pid)."""
-    rows = table(spark, folder, "pairs").select("tid", "pid", "rid1", "rid2", "similarity")
-    return skew.middle_pairs(rows, Workspace(spark, "p2"))
-
-
-@query("""
-select tid, pid, count(*) n_rows, count(similarity) n_scored, min(similarity) min_similarity,
-  cast(avg(cast(similarity as decimal(20,8))) as double) mean_similarity, max(similarity) max_similarity
-from pairs group by tid, pid""")
-def p2_profile(spark: SparkSession, folder: str) -> DataFrame:
-    """Algebraic aggregates per (tid, pid)."""
-    return skew.key_profile(table(spark, folder, "pairs").select("tid", "pid", "similarity"))
+from kinprint.plans import queries_groups, queries_pairs, queries_scan, queries_tables, queries_text  # noqa: E402, F401
