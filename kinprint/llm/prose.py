@@ -16,7 +16,7 @@ SIDES = {
     "line_words": -1,  # ln(1 + mean words a line)
     "variety": -1,  # different words of all words
     "end_share": -1,  # lines that end in closing punctuation
-    "bullet_share": 1,  # lines that begin with a list mark, a number or a table bar
+    "bullet_share": 1,  # lines that begin with a list mark, a number, a table bar or a label of a word or two
 }
 STATISTICS = list(SIDES)
 LANGUAGES = ("en", "de", "fr", "es", "zh")
@@ -31,7 +31,7 @@ _HAN = re.compile(rf"[{_CJK}]")
 _USUAL = set(".,;:!?'\"’‘“”„«»‹›¿¡()-–—…。，、？！；：（）《》「」%/")
 _PLAIN = re.compile(rf"[\"'“”„«»‹›¿¡(‘’（《「]*(?:(?:[^\W\d_]+(?:['’\-][^\W\d_]+)*['’]?)|\d+(?:[.,]\d+)?%?)[\"'“”»«.,;:!?…)’。，、？！；：）》」]*")
 _ODD = re.compile(r"\w*(?:_\w|[^\W\d_]\d|\d[^\W\d_]|[a-zà-ÿ][A-Z])\w*")
-_BULLET = re.compile(r"\s*(?:[-–—•*·+|▪◦‣○●]\s|\[[ xX]?\]\s|\(?\d+[.)]\s|[|+#=~])")
+_BULLET = re.compile(r"\s*(?:[-–—•*·+|▪◦‣○●]\s|\[[ xX]?\]\s|\(?\d+[.)]\s|[|+#=~]|[^\W\d_]+(?: [^\W\d_]+)?: \S.{0,30}$)")
 _DIGIT = re.compile(r"\d")
 _SYMBOL = re.compile("[^\\w\\s" + re.escape("".join(sorted(_USUAL))) + "]|_")
 _ENDS = tuple(".!?…。！？:;：；\"”»'’)）")

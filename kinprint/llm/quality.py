@@ -21,9 +21,10 @@ from kinprint.session import Workspace
 
 D = len(prose.STATISTICS)
 #: Squared distance above which a stretch is no prose, and rounds of refitting.
-CUTOFF, STEPS = 20.0, 4
+CUTOFF, STEPS = 13.0, 4
 #: Least standard deviations, in the order of the statistics: prose that is all alike must not make the distance boundless.
-FLOORS = np.array([0.05, 0.03, 0.04, 0.05, 0.05, 0.4, 0.4, 0.08, 0.35, 0.2])
+FLOORS = np.array([0.04, 0.06, 0.08, 0.1, 0.08, 0.35, 0.4, 0.2, 0.35, 0.25])
+_SIDES = np.array(list(prose.SIDES.values()), dtype=np.float64)
 #: Stretches a language needs for a fit of its own; below, and for unknown languages, all languages' prose serves.
 ENOUGH = 30
 
@@ -82,6 +83,7 @@ class Model:
     def contributions(self, lang: np.ndarray, s: np.ndarray, weight: np.ndarray) -> np.ndarray:
         """What each statistic adds to the squared distance of each row.
 
+        A deviation to the side that speaks for prose (more common words, say) counts as none.
         Short stretches vary more by nature: the distance is divided by 1 + 15 / characters.
         """
         out = np.zeros_like(s)
@@ -89,6 +91,7 @@ class Model:
             at = lang == name
             key = name if name in self.mean else "*"
             d = s[at] - self.mean[key]
+            d = np.where(d * _SIDES < 0, 0.0, d)
             out[at] = d * (d @ self.inverse[key]) / (1 + 15 / np.maximum(weight[at], 5))[:, None]
         return out
 
