@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinprint.operators import latest, skew
+from kinprint.operators import contests, latest, skew
 from kinprint.plans.registry import query
 from kinprint.session import Workspace
 from kinprint.sources.tables import table
@@ -80,9 +80,8 @@ union all select 'both', domain_id, tid, end_at from contests""")
 def scope_filter(spark: SparkSession, folder: str) -> DataFrame:
     """Contests by scope."""
     rows = table(spark, folder, "contests").select("domain_id", "tid", "end_at", "rule")
-    homework = F.coalesce(F.col("rule") == "homework", F.lit(False))
-    scopes = F.array(F.lit("both"), F.when(homework, "homework").otherwise("contest"))
-    return rows.select(F.explode(scopes).alias("scope"), "domain_id", "tid", "end_at")
+    scopes = [contests.in_scope(rows, s).select(F.lit(s).alias("scope"), "domain_id", "tid", "end_at") for s in ("contest", "homework", "both")]
+    return scopes[0].unionByName(scopes[1]).unionByName(scopes[2])
 
 
 @query("""
@@ -90,8 +89,7 @@ select domain_id, tid, id, status, created_at from (
   select *, row_number() over (partition by domain_id, tid order by created_at desc, id desc) i from (select distinct domain_id, tid, id, status, created_at from reports)) where i = 1""")
 def latest_report(spark: SparkSession, folder: str) -> DataFrame:
     """The newest report of every contest."""
-    rows = table(spark, folder, "reports").select("domain_id", "tid", "id", "status", "created_at")
-    return latest.latest_per_key(rows, ["domain_id", "tid"], ["created_at", "id"])
+    return contests.latest_reports(table(spark, folder, "reports").select("domain_id", "tid", "id", "status", "created_at"))
 
 
 @query("""
@@ -104,13 +102,6 @@ def dim_label(spark: SparkSession, folder: str) -> DataFrame:
     return keys.join(named, ["tid", "pid"], "left").select("tid", "pid", F.coalesce("title", F.concat(F.lit("P"), F.col("pid"))).alias("label"))
 
 
-def _ended(contests: DataFrame) -> DataFrame:
-    now = F.lit(NOW).cast("timestamp_ntz")
-    open_ = (F.col("end_at") < now - F.expr(f"interval {GRACE_MINUTES} minutes")) & (F.col("end_at") > now - F.expr(f"interval {WINDOW_DAYS} days"))
-    first = Window.partitionBy("domain_id").orderBy("end_at", "tid")
-    return contests.where(open_).withColumn("i", F.row_number().over(first)).where(F.col("i") <= PER_DOMAIN).drop("i")
-
-
 _ENDED = f"""select domain_id, tid, end_at from (
   select domain_id, tid, end_at, row_number() over (partition by domain_id order by end_at, tid) i from contests
   where end_at < timestamp '{NOW}' - interval {GRACE_MINUTES} minute and end_at > timestamp '{NOW}' - interval {WINDOW_DAYS} day) where i <= {PER_DOMAIN}"""
@@ -119,7 +110,7 @@ _ENDED = f"""select domain_id, tid, end_at from (
 @query(_ENDED)
 def ended_window(spark: SparkSession, folder: str) -> DataFrame:
     """Contests that ended within the window, at most 50 of a domain."""
-    return _ended(table(spark, folder, "contests")).select("domain_id", "tid", "end_at")
+    return contests.ended(table(spark, folder, "contests"), NOW, GRACE_MINUTES, WINDOW_DAYS, PER_DOMAIN).select("domain_id", "tid", "end_at")
 
 
 @query(f"""
@@ -128,10 +119,8 @@ select e.domain_id, e.tid from ({_ENDED}) e left join last using (domain_id, tid
 where last.id is null or (last.status = 'failed' and (last.finished_at is null or timestamp '{NOW}' - last.finished_at >= interval 1 hour))""")
 def sweep_candidates(spark: SparkSession, folder: str) -> DataFrame:
     """Ended contests without a report, or whose newest report failed an hour ago or longer."""
-    last = latest.latest_per_key(table(spark, folder, "reports").select("domain_id", "tid", "created_at", "id", "status", "finished_at"), ["domain_id", "tid"], ["created_at", "id"])
-    rows = _ended(table(spark, folder, "contests")).select("domain_id", "tid").join(last, ["domain_id", "tid"], "left")
-    old = F.coalesce(F.lit(NOW).cast("timestamp_ntz") - F.col("finished_at") >= F.expr("interval 1 hour"), F.lit(True))
-    return rows.where(F.col("id").isNull() | ((F.col("status") == "failed") & old)).select("domain_id", "tid")
+    rows = contests.ended(table(spark, folder, "contests"), NOW, GRACE_MINUTES, WINDOW_DAYS, PER_DOMAIN)
+    return contests.without_report(rows, table(spark, folder, "reports"), NOW).select("domain_id", "tid")
 
 
 @query(f"""
@@ -139,9 +128,7 @@ select id, domain_id, tid, status, greatest(0, cast(floor(epoch(timestamp '{NOW}
 from (select distinct id, domain_id, tid, status, created_at, error, last_error from reports where status in ('waiting', 'running', 'failed')) order by created_at, id limit 50""")
 def queue(spark: SparkSession, folder: str) -> DataFrame:
     """The 50 oldest unfinished or failed reports with their age in minutes."""
-    rows = table(spark, folder, "reports").where(F.col("status").isin("waiting", "running", "failed")).select("id", "domain_id", "tid", "status", "created_at", "error", "last_error").distinct()
-    age = F.floor(F.timestamp_diff("SECOND", F.col("created_at"), F.lit(NOW).cast("timestamp_ntz")) / 60)
-    return rows.orderBy("created_at", "id").limit(50).select("id", "domain_id", "tid", "status", F.greatest(F.lit(0), age).cast("bigint").alias("minutes"), F.coalesce("error", "last_error").alias("error"))
+    return contests.queue(table(spark, folder, "reports"), NOW)
 
 
 @query("""
@@ -153,17 +140,7 @@ select s.tid, count(*) total, count(distinct uid) users, count(distinct pid) pro
 from submissions s left join cached using (tid) group by s.tid""")
 def diagnostics(spark: SparkSession, folder: str) -> DataFrame:
     """Per contest: records, users, problems, languages, records without source, cached and reusable features."""
-    rows = table(spark, folder, "submissions")
-    blank = lambda c: F.coalesce(F.col(c), F.lit("")) == ""
-    counts = rows.groupBy("tid").agg(
-        F.count(F.lit(1)).alias("total"), F.count_distinct("uid").alias("users"), F.count_distinct("pid").alias("problems"),
-        F.count_distinct(F.coalesce(F.nullif("lang", F.lit("")), F.lit("?"))).alias("langs"), F.count_if(blank("code") & blank("files_code")).alias("no_source"),
-    )
-    current = F.coalesce((F.col("k") == 8) & (F.col("schema_version") == 3), F.lit(False))
-    cached = table(spark, folder, "features").groupBy("rid").agg(F.bool_or(current).alias("reusable"))
-    newest = latest.latest_submissions(rows.select("domain_id", "tid", "uid", "pid", "rid")).select("tid", "rid")
-    use = newest.join(cached, "rid").groupBy("tid").agg(F.count(F.lit(1)).alias("cache_docs"), F.count_if("reusable").alias("cache_reusable"))
-    return counts.join(use, "tid", "left").fillna(0, ["cache_docs", "cache_reusable"])
+    return contests.diagnostics(table(spark, folder, "submissions"), table(spark, folder, "features"))
 
 
 @query("""
