@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinprint.llm import components, mixing, neardup, packing, quality, setjoin, spans, terms, tokens
+from kinprint.llm import components, mixing, neardup, oracle, packing, quality, setjoin, spans, terms, tokens
 from kinprint.session import Workspace
 from kinprint.sources.tables import counted_features, table
 
@@ -118,4 +118,4 @@ def p9_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p3_found, p3_links, p4_found, p5_found, p5_log_entropy, p6_found, p6_shares, p7_packed, p7_report, p8_mixture, p8_shares, p9_quality, p9_found)}
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = oracle.SQL
