@@ -33,10 +33,13 @@ def salted_join(rows: DataFrame, states: DataFrame, on: list[str], spread: list[
     return left.join(right, test, how).drop("__salt", "__s", *[f"__{c}" for c in on])
 
 
-def hot_values(df: DataFrame, column: str, least: int, most: int = 1000) -> list:
-    """Values of a column that hold more than max(least, rows/most) rows: never more than `most` of them."""
+def hot_values(df: DataFrame, column: str, least: int, most: int = 1000, total: int | None = None) -> list:
+    """Values of a column that hold more than max(least, rows/most) rows: never more than `most` of them.
+
+    total: the rows of df, or more, where they are known.
+    """
     counts = df.groupBy(column).agg(F.count(F.lit(1)).alias("n"))
-    total = df.count()
+    total = df.count() if total is None else total
     return [r[0] for r in counts.where((F.col("n") > max(least, total // most)) & F.col(column).isNotNull()).select(column).collect()]
 
 

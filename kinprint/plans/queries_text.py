@@ -10,6 +10,7 @@ from kinprint.functions.artifacts import FLAG_NAMES, STRUCT_PUNCT, with_artifact
 from kinprint.functions.lexer import PLAIN_OPERATORS, family_regex
 from kinprint.operators import latest
 from kinprint.plans.registry import query
+from kinprint.session import spread
 from kinprint.sources.tables import table
 
 # The same lexemes for DuckDB, whose regex engine has no possessive quantifiers and needs none.
@@ -157,4 +158,4 @@ def split_lines(spark: SparkSession, folder: str) -> DataFrame:
 def features(spark: SparkSession, folder: str) -> DataFrame:
     """All derived columns of every submission's inline code."""
     rows = latest.source_text(table(spark, folder, "submissions")).select("rid", "lang", "source")
-    return with_artifacts(rows.where(F.col("source") != ""), "source", "lang")
+    return with_artifacts(spread(rows.where(F.col("source") != "")), "source", "lang")

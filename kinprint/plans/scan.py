@@ -55,6 +55,7 @@ def featured(rows: DataFrame, features: DataFrame | None, config: ScanConfig, bl
         current = features.where((F.col("k") == config.k) & (F.col("schema_version") == 3)).select("rid").distinct()
         misses = rows.join(current, "rid", "left_anti")
     fetched = latest.source_text(misses, blobs).drop("code", "files_code")
+    # Misses come out of a shuffle, so the lexing is spread already.
     early = latest.skip_reason(F.col("source"), None, config.max_code_size)
     made = with_artifacts(fetched.withColumn("reason", early).withColumn("source", F.when(early.isNull(), F.col("source"))), "source", "lang", config.k)
     made = made.withColumn("reason", F.coalesce("reason", F.when(F.col("token_count") < config.min_tokens, "short")))

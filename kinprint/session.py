@@ -12,7 +12,8 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 DEFAULTS = {
     "spark.sql.adaptive.enabled": "true",
@@ -51,6 +52,15 @@ def shared_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir().rstrip("/")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows of a scan with fewer than two partitions a core, dealt over all cores for costly work in Python.
+
+    A table of many files is left as it is.  Only for plans without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(2 * cores) if df.rdd.getNumPartitions() < 2 * cores else df
+
+
 class Workspace:
     """Tables of one job below the checkpoint folder; drop() removes one early."""
 
@@ -70,6 +80,12 @@ class Workspace:
         self._paths[id(back)] = path
         return back
 
+    def write_counted(self, df: DataFrame, test: Column) -> tuple[DataFrame, int]:
+        """Write df and count the rows that pass a test on the way."""
+        seen = Observation()
+        back = self.write(df.observe(seen, F.count_if(test).alias("n")))
+        return back, seen.get.get("n") or 0
+
     def drop(self, table: DataFrame | None) -> None:
         """Remove a table that no later step reads."""
         path = self._paths.pop(id(table), None)
