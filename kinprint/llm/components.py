@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kinprint.operators.skew import SALTS, hot_values
@@ -13,72 +13,98 @@ HOT = 50_000
 
 
 def _follow(rows: DataFrame, column: str, parents: DataFrame, hot: list, spread: str) -> DataFrame:
-    """Replace rows[column] by its parent where it has one.
+    """Replace rows[column] by its parent where it has one of the same kind k.
 
     Rows of hot values are spread over salts by another column; only the few
     parents that are hot (at most a thousand) are repeated for each salt.
     """
+    parents = parents.select(F.col("k").alias("__k"), F.col("v").alias("__v"), F.col("p").alias("__p"))
+    test = (F.col("k") == F.col("__k")) & (F.col(column) == F.col("__v"))
     if hot:
         rows = rows.withColumn("__salt", F.when(F.col(column).isin(hot), F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int")).otherwise(0))
-        salts = F.when(F.col("v").isin(hot), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
-        parents = parents.select(F.col("v").alias("__v"), F.col("p").alias("__p"), F.explode(salts).alias("__s"))
-        test = (F.col(column) == F.col("__v")) & (F.col("__salt") == F.col("__s"))
-    else:
-        parents = parents.select(F.col("v").alias("__v"), F.col("p").alias("__p"))
-        test = F.col(column) == F.col("__v")
-    return rows.join(parents, test, "left").withColumn(column, F.coalesce("__p", column)).drop("__v", "__p", "__s", "__salt")
+        salts = F.when(F.col("__v").isin(hot), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+        parents = parents.withColumn("__s", F.explode(salts))
+        test = test & (F.col("__salt") == F.col("__s"))
+    return rows.join(parents, test, "left").withColumn(column, F.coalesce("__p", column)).drop("__k", "__v", "__p", "__s", "__salt")
 
 
-def connected_components(edges: DataFrame, work: Workspace, hot: int = HOT) -> DataFrame:
-    """Label every vertex of the edges (a, b) with the smallest vertex of its component: (v, p).
+def linked_labels(edges: DataFrame, work: Workspace, hot: int = HOT) -> DataFrame:
+    """Label every vertex of the edges (k, a, b) with the smallest vertex of its component: (k, v, p).
 
+    Edges of different kinds k never meet; all kinds are solved by the same jobs.
     Each round takes the smallest label across a vertex's edges as its parent,
     follows parents to their roots by pointer jumping, and rewrites the edges
-    between roots; every step's table is written to the checkpoint folder.  The
-    rounds end when no edge joins two labels.  Each round at least halves the
-    roots of a component, so rounds are few even for chains of any length.
+    between roots; every step's table is written to the checkpoint folder, and
+    the rows that changed are counted while it is written.  The rounds end when
+    no edge joins two labels.  Each round at least halves the roots of a
+    component, so rounds are few even for chains of any length.
     Edges with a null end, loops and repeats add nothing; no edges give no rows.
     """
-    live = edges.where(F.col("a").isNotNull() & F.col("b").isNotNull() & (F.col("a") != F.col("b")))
-    live = work.write(live.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    labels: DataFrame | None = None
-    while live.take(1):
-        both = live.unionByName(live.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        parents = work.write(both.groupBy(F.col("a").alias("v")).agg(F.min("b").alias("p")).select("v", F.least("v", "p").alias("p")))
-        while True:
+
+    def hubs(df: DataFrame, column: str, n: int) -> list:
+        return hot_values(df, column, hot, total=n) if n > hot else []
+
+    def canonical(df: DataFrame) -> DataFrame:
+        return df.where(F.col("a") != F.col("b")).select("k", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+    def composed(steps: list[DataFrame], n: int) -> DataFrame:
+        """Labels through several steps of parents in one plan."""
+        out = steps[0]
+        for parents in steps[1:]:
+            out = _follow(out, "p", parents.where(F.col("p") != F.col("v")), hubs(steps[0], "p", n), "v")
+        return work.write(out)
+
+    every: Column = F.lit(True)
+    live, n = work.write_counted(canonical(edges), every)
+    steps: list[DataFrame] = []
+    n_first = 0
+    while n:
+        both = live.unionByName(live.select("k", F.col("b").alias("a"), F.col("a").alias("b")))
+        parents, n_parents = work.write_counted(both.groupBy("k", F.col("a").alias("v")).agg(F.min("b").alias("p")).select("k", "v", F.least("v", "p").alias("p")), every)
+        n_first = n_first or n_parents
+        changed = 1
+        while changed:
             inner = parents.where(F.col("p") != F.col("v"))
-            jumped = work.write(_follow(parents.withColumn("q", F.col("p")), "p", inner, hot_values(inner, "p", hot), "v"))
+            hot_parents = hubs(inner, "p", n_parents)
+            twice = parents.select("k", "v", "p", F.col("p").alias("q"))
+            for _ in range(2):  # the second hop starts from the first one's parents and follows the same table
+                twice = _follow(twice, "p", inner, hot_parents, "v")
+            jumped, changed = work.write_counted(twice, F.col("p") != F.col("q"))
             work.drop(parents)
             parents = jumped
-            if not parents.where(F.col("p") != F.col("q")).take(1):
-                break
-        parents = parents.select("v", "p")
-        moved = _follow(live, "a", parents, hot_values(live, "a", hot), "b")
-        moved = _follow(moved, "b", parents, hot_values(live, "b", hot), "a").where(F.col("a") != F.col("b"))
-        new_live = work.write(moved.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+        parents = parents.select("k", "v", "p")
+        moved = _follow(live, "a", parents, hubs(live, "a", n), "b")
+        moved = _follow(moved, "b", parents, hubs(live, "b", n), "a")
+        rest, m = work.write_counted(canonical(moved), every)
         work.drop(live)
-        live = new_live
-        new_labels = parents if labels is None else work.write(_follow(labels, "p", parents.where(F.col("p") != F.col("v")), hot_values(labels, "p", hot), "v"))
-        labels = new_labels
-    if labels is None:
-        return live.select(F.col("a").alias("v"), F.col("b").alias("p"))
-    return labels
+        live, n = rest, m
+        steps.append(parents)
+        if len(steps) == 4:
+            steps = [composed(steps, n_first)]
+    if not steps:
+        return live.select("k", F.col("a").alias("v"), F.col("b").alias("p"))
+    return steps[0] if len(steps) == 1 else composed(steps, n_first)
+
+
+def connected_components(edges: DataFrame, work: Workspace, hot: int = HOT) -> DataFrame:
+    """Components of edges (a, b) of one kind: every vertex v with its component's smallest vertex p."""
+    return linked_labels(edges.select(F.lit(0).alias("k"), "a", "b"), work, hot).select("v", "p")
 
 
-def grouped_members(pairs: DataFrame, left: str, right: str, work: Workspace) -> DataFrame:
-    """Every non-null id of two columns with its group's smallest id: member_id, group_id.
+def grouped_members(sides: DataFrame, work: Workspace) -> DataFrame:
+    """Every non-null id of sides (k, a, b) with its group's smallest id: k, member_id, group_id.
 
     A row with both ids links them.  A row with one null id links nothing, but
     the other id is a member; one that is linked to none but itself is its own group.
     """
-    sides = pairs.select(F.col(left).cast("bigint").alias("a"), F.col(right).cast("bigint").alias("b"))
-    members = sides.select("a").unionByName(sides.select(F.col("b").alias("a"))).where(F.col("a").isNotNull()).distinct()
-    labels = connected_components(sides, work)
-    return members.join(labels, members["a"] == labels["v"], "left").select(F.col("a").alias("member_id"), F.coalesce("p", "a").alias("group_id"))
+    members = sides.select("k", F.explode(F.array("a", "b")).alias("member_id")).where(F.col("member_id").isNotNull()).distinct()
+    labels = linked_labels(sides, work).select(F.col("k").alias("__k"), "v", "p")
+    joined = members.join(labels, (F.col("k") == F.col("__k")) & (F.col("member_id") == F.col("v")), "left")
+    return joined.select("k", "member_id", F.coalesce("p", "member_id").alias("group_id"))
 
 
 def pair_groups(pairs: DataFrame, work: Workspace) -> DataFrame:
     """Groups of submissions (kind rid) and of users (kind uid): kind, member_id, group_id."""
-    rids = grouped_members(pairs, "rid1", "rid2", work).select(F.lit("rid").alias("kind"), "member_id", "group_id")
-    uids = grouped_members(pairs, "uid1", "uid2", work).select(F.lit("uid").alias("kind"), "member_id", "group_id")
-    return rids.unionByName(uids)
+    side = lambda k, name: F.struct(F.lit(k).alias("k"), F.col(f"{name}1").cast("bigint").alias("a"), F.col(f"{name}2").cast("bigint").alias("b"))
+    sides = pairs.select(F.explode(F.array(side(0, "rid"), side(1, "uid"))).alias("s")).select("s.*")
+    return grouped_members(sides, work).select(F.when(F.col("k") == 0, "rid").otherwise("uid").alias("kind"), "member_id", "group_id")

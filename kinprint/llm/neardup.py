@@ -14,7 +14,7 @@ from kinprint.llm.components import connected_components
 from kinprint.llm.setjoin import verified
 from kinprint.llm.sketches import digests, mix, one_bit_minhashes, pack_words, ragged_sets, segments_needed, super_minhash, tail_radius
 from kinprint.operators.skew import salted_join
-from kinprint.session import Workspace
+from kinprint.session import Workspace, spread
 
 RECALL = 0.998
 ROWS = 4  # signature values a band
@@ -81,7 +81,7 @@ def near_copy_groups(sets: DataFrame, dice: float, work: Workspace, recall: floa
     radius = tail_radius(64 * WORDS, (1 - jaccard) / 2, 1 - (1 - recall) / 4)
     key = ["d1", "d2", "size"]
     codes = [f"c{k}" for k in range(WORDS)]
-    signed = work.write(sets.select("id", "elems").mapInArrow(_signer(bands, rows), _SIGNED_DDL).where(F.col("size") > 0))
+    signed = work.write(spread(sets.select("id", "elems")).mapInArrow(_signer(bands, rows), _SIGNED_DDL).where(F.col("size") > 0))
     classes = work.write(signed.groupBy(*key).agg(F.min("id").alias("rep"), *[F.first(c).alias(c) for c in [*codes, "bands"]]).select("rep", "size", *codes, "bands"))
     shared = signed.groupBy(*key).agg(F.min("id").alias("rep"), F.count_distinct("id").alias("n")).where(F.col("n") > 1).select(*key, "rep")
     copies = work.write(salted_join(signed.select("id", *key), shared, key, ["id"]).where(F.col("id") != F.col("rep")).select(F.col("id").alias("a"), F.col("rep").alias("b")).distinct())

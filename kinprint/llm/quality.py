@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kinprint.llm import prose
-from kinprint.session import Workspace
+from kinprint.session import Workspace, spread
 
 D = len(prose.STATISTICS)
 #: Squared distance above which a stretch is no prose, and rounds of refitting.
@@ -155,7 +155,7 @@ def measured_stretches(documents: DataFrame, words: DataFrame, work: Workspace)
     doc_id is no document.
     """
     rows = documents.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("bigint").alias("doc_id"), "lang", "text")
-    measured = work.write(rows.mapInArrow(_measure(common_words(words)), _DDL))
+    measured = work.write(spread(rows).mapInArrow(_measure(common_words(words)), _DDL))
     return measured.mapInArrow(_distances(fit(measured)), "doc_id bigint, lang string, weight int, s array<double>, c array<double>, d2 double")
 
 

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from kinprint.llm.buckets import CAP, WORDS, near_pairs
 from kinprint.llm.sketches import digests, near_share, one_bit_minhashes, pack_words, ragged_sets, segments_needed, tail_radius
 from kinprint.operators.skew import salted_join
-from kinprint.session import Workspace
+from kinprint.session import Workspace, spread
 
 RECALL = 0.998
 
@@ -72,7 +72,7 @@ def sketch_classes(sets: DataFrame, plan: Plan, work: Workspace, probing: bool =
     sets has the columns id and elems.  Returns (classes: rep, size, c0.., segments;
     members: id, rep), where rep is the smallest id with the set.
     """
-    made = work.write(sets.select("id", "elems").mapInArrow(_sketcher(plan, probing), _SKETCH_DDL).where(F.col("size") > 0))
+    made = work.write(spread(sets.select("id", "elems")).mapInArrow(_sketcher(plan, probing), _SKETCH_DDL).where(F.col("size") > 0))
     key = ["d1", "d2", "size"]
     classes = made.groupBy(*key).agg(F.min("id").alias("rep"), *[F.first(c).alias(c) for c in [f"c{k}" for k in range(WORDS)] + ["segments"]])
     reps = made.groupBy(*key).agg(F.min("id").alias("rep"), F.count_distinct("id").alias("n")).where(F.col("n") > 1).select(*key, "rep")

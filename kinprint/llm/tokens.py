@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kinprint.session import spread
+
 #: Where the vocabulary files lie on every machine; the ranks file is read by each worker once.
 VOCABULARY = os.environ.get("TOKENIZER_FILE", "/opt/tokenizers/byte_bpe_50k.tiktoken")
 #: The published split pattern of this vocabulary (a fixed value).
@@ -59,7 +61,7 @@ def _counter(path: str):
     return run
 
 
-def with_token_counts(df: DataFrame, text: str = "text", vocabulary: str = VOCABULARY, spread: int | None = None) -> DataFrame:
+def with_token_counts(df: DataFrame, text: str = "text", vocabulary: str = VOCABULARY) -> DataFrame:
     """df without the text, with n_tokens and n_prompt (tokens of the first line, if others follow).
 
     Null and empty texts have 0 tokens.  Other columns are kept; df must not have these two names.
@@ -67,4 +69,4 @@ def with_token_counts(df: DataFrame, text: str = "text", vocabulary: str = VOCAB
     keep = [c for c in df.columns if c != text]
     rows = df.select(*keep, F.col(text))
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != text)
-    return rows.mapInArrow(_counter(vocabulary), f"{ddl}, n_tokens int, n_prompt int")
+    return spread(rows).mapInArrow(_counter(vocabulary), f"{ddl}, n_tokens int, n_prompt int")
