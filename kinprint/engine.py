@@ -70,10 +70,11 @@ class Report:
     def user_problems(self) -> DataFrame:
         return report.user_problem(self.all_pairs)
 
-    def graph(self, titles: DataFrame, names: DataFrame, min_level: int = 1) -> tuple[DataFrame, DataFrame, DataFrame]:
-        """(nodes, edges, counts); titles: pid, title; names: uid, name."""
-        edges = report.graph_edges(self.all_pairs, titles, min_level)
-        return report.graph_nodes(edges, names), edges, report.graph_stats(self.all_pairs, min_level)
+    def graph(self, titles: DataFrame, names: DataFrame, min_level: int = 1, most: int | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+        """(nodes, edges, counts) of all pairs or the `most` similar ones; titles: pid, title; names: uid, name."""
+        pairs = self.all_pairs if most is None else report.strongest(self.all_pairs, most)
+        edges = report.graph_edges(pairs, titles, min_level)
+        return report.graph_nodes(edges, names), edges, report.graph_stats(pairs, min_level)
 
     def diff(self, rid1: int, rid2: int, beside: bool = False) -> DataFrame:
         """Line diff of two submissions, or their lines beside each other."""

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kinprint.functions import hashing, metrics
-from kinprint.operators.skew import salted_join
+from kinprint.operators.skew import ranked_rows, salted_join
 from kinprint.session import Workspace
 
 PAGE = 50
@@ -44,8 +44,6 @@ def capped(pairs: DataFrame, keys: list[str], most: int, work: Workspace) -> Dat
 
     The cut is found by histograms (see skew.ranked_rows), so a key of any size is never sorted in one task.
     """
-    from kinprint.operators.skew import ranked_rows
-
     order = ["__neg", "pid", "uid1", "uid2", "rid1", "rid2"]
     rows = pairs.withColumn("__neg", -F.col("similarity"))
     cut = ranked_rows(work.write(rows.select(*keys, *order)), keys, order, work, F.least(F.col("__n"), F.lit(most)))
@@ -96,8 +94,12 @@ def graph_stats(pairs: DataFrame, min_level: int = 1) -> DataFrame:
 def visible_edges(edges: DataFrame, levels: list[int]) -> DataFrame:
     """Edges of the chosen levels; all edges if none of these levels occurs."""
     chosen = edges.where(F.col("level").isin(levels))
-    any_ = chosen.limit(1).agg(F.count(F.lit(1)).alias("__some"))
-    return edges.join(F.broadcast(any_)).where((F.col("__some") == 0) | F.col("level").isin(levels)).drop("__some")
+    return chosen if chosen.take(1) else edges
+
+
+def strongest(pairs: DataFrame, most: int = GRAPH_LIMIT) -> DataFrame:
+    """The most similar pairs, for a graph that can still be drawn; ties by all ids."""
+    return pairs.orderBy(F.desc("similarity"), "pid", "uid1", "uid2", "rid1", "rid2").limit(most)
 
 
 def cut_line(line: Column, most: int = 500) -> Column:

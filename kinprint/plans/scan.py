@@ -14,6 +14,7 @@ from kinprint.operators import groups as grouping
 from kinprint.operators import latest, simjoin
 from kinprint.operators.groups import SCOPE
 from kinprint.operators.skew import salted_join
+from kinprint.plans.report import capped
 from kinprint.session import Workspace
 
 FEATURES = ["code_hash", "token_count", "hashes", "base_hashes", "lex_base_hashes", "tf", "struct_vec", "funcs", "idents", "comment_hashes", "flags"]
@@ -29,6 +30,7 @@ class ScanConfig:
     mode: str = "latest"
     ignore_cache: bool = False
     exclude_pids: tuple[int, ...] = ()
+    max_pairs: int | None = None  # of a contest, the most similar ones
     thresholds: Thresholds = field(default_factory=Thresholds)
 
 
@@ -136,6 +138,8 @@ def scan(submissions: DataFrame, features: DataFrame | None, work: Workspace, co
         *SCOPE, "uid1", "uid2", "rid1", "rid2", "lang1", "lang2", hashing.round4(F.col("sim")).alias("similarity"), "level", F.col("common").cast("int").alias("common"),
         *[hashing.round4(F.col(c)).alias(c) for c in ratios], metrics.shared_count(F.col("comment_hashes1"), F.col("comment_hashes2")).alias("shared_comments"), *flags,
     )
+    if config.max_pairs is not None:
+        out = capped(work.write(out), ["domain_id", "tid"], config.max_pairs, work)
     return out, docs_all, state
 
 

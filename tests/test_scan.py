@@ -70,6 +70,8 @@ def test_modes_cache_and_exclusion(spark, work):
     subs = submissions(spark, data)
     every = scan.scan(subs, None, work, ScanConfig(mode="all"))[0]
     assert {(r["rid1"], r["rid2"]) for r in every.collect()} == {(1, 3), (2, 3), (4, 5)}
+    few = scan.scan(subs, None, work, ScanConfig(mode="all", max_pairs=1))[0].collect()
+    assert len(few) == 1 and few[0]["similarity"] == max(r["similarity"] for r in every.collect())
     less = scan.scan(subs, None, work, ScanConfig(exclude_pids=(2,)))
     assert less[1].select("pid").distinct().collect()[0][0] == 1
     feats = less[1].select("rid", F.lit("d").alias("domain_id"), "lang", F.lit(8).alias("k"), F.lit(3).alias("schema_version"), *scan.FEATURES)
@@ -114,7 +116,7 @@ def test_reports(spark, work, tmp_path):
     assert {r["title"] for r in edges.collect()} == {"One", "P2"}
     nodes = {r["uid"]: r for r in report.graph_nodes(edges, spark.createDataFrame([(10, "ann")], "uid bigint, name string")).collect()}
     assert nodes[10]["degree"] == 2 and nodes[10]["name"] == "ann" and nodes[20]["name"] == "U20"
-    assert report.graph_stats(pairs, 2).first()["users"] == 3 and report.visible_edges(edges, [0]).count() == 2 and report.visible_edges(edges, [3]).count() == 1
+    assert [r["rid1"] for r in report.strongest(pairs, 1).collect()] == [1] and report.graph_stats(pairs, 2).first()["users"] == 3 and report.visible_edges(edges, [0]).count() == 2 and report.visible_edges(edges, [3]).count() == 1
 
     root = str(tmp_path / "pairs")
     store.replace_pairs(pairs, root, pairs.select("domain_id", "tid"))
