@@ -86,9 +86,10 @@ def graph_nodes(edges: DataFrame, names: DataFrame) -> DataFrame:
 
 def graph_stats(pairs: DataFrame, min_level: int = 1) -> DataFrame:
     """Counts by level over all pairs, and the users that are left from the least level on."""
-    levels = pairs.agg(F.count(F.lit(1)).alias("total"), *[F.count_if(F.col("level") == n).alias(f"l{n}") for n in (1, 2, 3)], F.lit(1).alias("k"))
-    users = pairs.where(F.col("level") >= min_level).select(F.explode(F.array("uid1", "uid2")).alias("u")).agg(F.count_distinct("u").alias("users"), F.lit(1).alias("k"))
-    return levels.join(users, "k").drop("k")
+    end = lambda n: F.struct(F.col(f"uid{n}").alias("uid"), F.lit(n == 1).alias("first"))
+    ends = pairs.select("level", F.explode(F.array(end(1), end(2))).alias("e")).select("level", "e.*")
+    counts = [F.count_if(F.col("first") & (F.col("level") == n)).alias(f"l{n}") for n in (1, 2, 3)]
+    return ends.agg(F.count_if("first").alias("total"), *counts, F.count_distinct(F.when(F.col("level") >= min_level, F.col("uid"))).alias("users"))
 
 
 def visible_edges(edges: DataFrame, levels: list[int]) -> DataFrame:
