@@ -48,11 +48,15 @@ def linked_labels(edges: DataFrame, work: Workspace, hot: int = HOT) -> DataFram
         return df.where(F.col("a") != F.col("b")).select("k", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
     def composed(steps: list[DataFrame], n: int) -> DataFrame:
-        """Labels through several steps of parents in one plan."""
+        """Labels through several steps of parents: one plan for few rows, else a table a step, whose hubs are known."""
         out = steps[0]
-        for parents in steps[1:]:
-            out = _follow(out, "p", parents.where(F.col("p") != F.col("v")), hubs(steps[0], "p", n), "v")
-        return work.write(out)
+        for i, parents in enumerate(steps[1:], 2):
+            out = _follow(out, "p", parents.where(F.col("p") != F.col("v")), hubs(out, "p", n), "v")
+            if n > hot or i == len(steps):
+                out = work.write(out)
+        for parents in steps:
+            work.drop(parents)
+        return out
 
     every: Column = F.lit(True)
     live, n = work.write_counted(canonical(edges), every)
@@ -66,13 +70,13 @@ def linked_labels(edges: DataFrame, work: Workspace, hot: int = HOT) -> DataFram
         while changed:
             inner = parents.where(F.col("p") != F.col("v"))
             hot_parents = hubs(inner, "p", n_parents)
-            twice = parents.select("k", "v", "p", F.col("p").alias("q"))
-            for _ in range(2):  # the second hop starts from the first one's parents and follows the same table
-                twice = _follow(twice, "p", inner, hot_parents, "v")
-            jumped, changed = work.write_counted(twice, F.col("p") != F.col("q"))
+            hopped = parents.select("k", "v", "p", F.col("p").alias("q"))
+            # Few rows go two hops a table; of many only the first hop's hubs are known.
+            for _ in range(1 if n_parents > hot else 2):
+                hopped = _follow(hopped, "p", inner, hot_parents, "v")
+            jumped, changed = work.write_counted(hopped, F.col("p") != F.col("q"))
             work.drop(parents)
             parents = jumped
-        parents = parents.select("k", "v", "p")
         moved = _follow(live, "a", parents, hubs(live, "a", n), "b")
         moved = _follow(moved, "b", parents, hubs(live, "b", n), "a")
         rest, m = work.write_counted(canonical(moved), every)
@@ -83,7 +87,7 @@ def linked_labels(edges: DataFrame, work: Workspace, hot: int = HOT) -> DataFram
             steps = [composed(steps, n_first)]
     if not steps:
         return live.select("k", F.col("a").alias("v"), F.col("b").alias("p"))
-    return steps[0] if len(steps) == 1 else composed(steps, n_first)
+    return (steps[0] if len(steps) == 1 else composed(steps, n_first)).select("k", "v", "p")
 
 
 def connected_components(edges: DataFrame, work: Workspace, hot: int = HOT) -> DataFrame:

@@ -77,7 +77,9 @@ def sketch_classes(sets: DataFrame, plan: Plan, work: Workspace, probing: bool =
     classes = made.groupBy(*key).agg(F.min("id").alias("rep"), *[F.first(c).alias(c) for c in [f"c{k}" for k in range(WORDS)] + ["segments"]])
     reps = made.groupBy(*key).agg(F.min("id").alias("rep"), F.count_distinct("id").alias("n")).where(F.col("n") > 1).select(*key, "rep")
     copies = salted_join(made.select("id", *key), reps, key, ["id"]).select("id", "rep").distinct()
-    return work.write(classes.select("rep", "size", *[f"c{k}" for k in range(WORDS)], "segments")), work.write(copies)
+    out = work.write(classes.select("rep", "size", *[f"c{k}" for k in range(WORDS)], "segments")), work.write(copies)
+    work.drop(made)
+    return out
 
 
 def low32(column: str) -> F.Column:
@@ -115,7 +117,10 @@ def similar_within(sets: DataFrame, threshold: float, work: Workspace, recall: f
     plan = Plan(threshold, sets.count(), recall)
     classes, copies = sketch_classes(sets, plan, work)
     found = work.write(near_pairs(_bucket_rows(classes), plan.radius, threshold, cap=cap))
-    return work.write(verified(found, sets, sets, _jaccard_at_least(threshold))), copies
+    work.drop(classes)
+    links = work.write(verified(found, sets, sets, _jaccard_at_least(threshold)))
+    work.drop(found)
+    return links, copies
 
 
 def similar_between(queries: DataFrame, sets: DataFrame, threshold: float, work: Workspace, recall: float = RECALL, length: int = 16, probe: int = 2, cap: int = CAP) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -129,7 +134,11 @@ def similar_between(queries: DataFrame, sets: DataFrame, threshold: float, work:
     s_classes, s_copies = sketch_classes(sets, plan, work)
     rows = _bucket_rows(q_classes).withColumn("tag", F.lit(0).cast("bigint")).unionByName(_bucket_rows(s_classes).withColumn("tag", F.lit(1).cast("bigint")))
     found = work.write(near_pairs(rows, plan.radius, threshold, "sides", cap))
-    return work.write(verified(found, queries, sets, _jaccard_at_least(threshold))), q_copies, s_copies
+    work.drop(q_classes)
+    work.drop(s_classes)
+    links = work.write(verified(found, queries, sets, _jaccard_at_least(threshold)))
+    work.drop(found)
+    return links, q_copies, s_copies
 
 
 def expand_within(links: DataFrame, copies: DataFrame) -> DataFrame:
