@@ -120,3 +120,16 @@ def statistics_of(text: str, lang: str, common: dict[str, frozenset], words: lis
         sum(1 for x in lines if x.rstrip().endswith(_ENDS)) / len(lines),
         sum(1 for x in lines if _BULLET.match(x)) / len(lines),
     ]
+
+
+#: Statistics of a whole text besides STATISTICS.
+COUNTS = ("n_words", "n_lines")
+
+
+def whole_statistics(text: str, lang: str, common: dict[str, frozenset]) -> list[float]:
+    """Words and non-blank lines of a whole text, then its STATISTICS over its own lines (word_length in letters for Chinese, too)."""
+    text = clean(text)
+    words = words_of(text)
+    out = statistics_of(text, lang, common, words)
+    out[STATISTICS.index("word_length")] = sum(map(len, words)) / len(words) if words else 0.0
+    return [float(len(words)), float(sum(1 for x in text.split("\n") if x.strip())), *out]

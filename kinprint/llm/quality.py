@@ -28,8 +28,8 @@ _SIDES = np.array(list(prose.SIDES.values()), dtype=np.float64)
 #: Stretches a language needs for a fit of its own; below, and for unknown languages, all languages' prose serves.
 ENOUGH = 30
 
-_DDL = "doc_id bigint, lang string, weight int, s array<double>"
-_SCHEMA = pa.schema([("doc_id", pa.int64()), ("lang", pa.string()), ("weight", pa.int32()), ("s", pa.list_(pa.float64()))])
+_DDL = "doc_id bigint, lang string, weight int, s array<double>, whole array<double>"
+_SCHEMA = pa.schema([("doc_id", pa.int64()), ("lang", pa.string()), ("weight", pa.int32()), ("s", pa.list_(pa.float64())), ("whole", pa.list_(pa.float64()))])
 
 
 def common_words(table: DataFrame) -> dict[str, frozenset]:
@@ -47,11 +47,13 @@ def common_words(table: DataFrame) -> dict[str, frozenset]:
 def _measure(common: dict[str, frozenset]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, langs, weights, values = [], [], [], []
+            ids, langs, weights, values, wholes = [], [], [], [], []
             for doc_id, declared, text in zip(*(batch.column(k).to_pylist() for k in range(3))):
                 cut = prose.stretches(text or "")
                 words = [prose.words_of(x) for x in cut]
                 whole = prose.language_of([w for x in words for w in x], common, declared)
+                if cut:
+                    wholes += [prose.whole_statistics(text, whole, common)] + [None] * (len(cut) - 1)
                 for x, w in zip(cut, words):
                     lang = prose.language_of(w, common, whole)
                     ids.append(doc_id)
@@ -60,7 +62,7 @@ def _measure(common: dict[str, frozenset]):
                     values.append(prose.statistics_of(x, lang, common, w))
             flat = np.array(values, dtype=np.float64).reshape(-1)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(ids) + 1, dtype=np.int32) * D), pa.array(flat))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(langs, pa.string()), pa.array(weights, pa.int32()), lists], schema=_SCHEMA)
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(langs, pa.string()), pa.array(weights, pa.int32()), lists, pa.array(wholes, pa.list_(pa.float64()))], schema=_SCHEMA)
 
     return run
 
@@ -143,7 +145,7 @@ def _distances(model: Model):
             lang, s, weight = _arrays(batch)
             c = model.contributions(lang, s, weight) if batch.num_rows else s
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(c) + 1, dtype=np.int32) * D), pa.array(np.ascontiguousarray(c).reshape(-1)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), batch.column(3), lists, pa.array(c.sum(axis=1))], names=["doc_id", "lang", "weight", "s", "c", "d2"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), batch.column(3), batch.column(4), lists, pa.array(c.sum(axis=1))], names=["doc_id", "lang", "weight", "s", "whole", "c", "d2"])
 
     return run
 
@@ -151,31 +153,37 @@ def _distances(model: Model):
 def measured_stretches(documents: DataFrame, words: DataFrame, work: Workspace) -> DataFrame:
     """Every stretch with its statistics s, their contributions c and the squared distance d2.
 
-    documents: doc_id, lang, text.  Null and blank texts have no stretch; a null
+    whole holds COUNTS and statistics of the whole text, at its first stretch only.
+    documents: doc_id (unique), lang, text.  Null and blank texts have no stretch; a null
     doc_id is no document.
     """
     rows = documents.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("bigint").alias("doc_id"), "lang", "text")
     measured = work.write(spread(rows).mapInArrow(_measure(common_words(words)), _DDL))
-    return measured.mapInArrow(_distances(fit(measured)), "doc_id bigint, lang string, weight int, s array<double>, c array<double>, d2 double")
+    return measured.mapInArrow(_distances(fit(measured)), "doc_id bigint, lang string, weight int, s array<double>, whole array<double>, c array<double>, d2 double")
 
 
 def text_quality(documents: DataFrame, words: DataFrame, work: Workspace) -> DataFrame:
     """Per document its statistics, its distance from prose, what each statistic contributes, and the share that is no prose.
 
-    Statistics, distance and contributions are means over the stretches by
-    non-blank characters; outlier_share is the share of these characters in
-    stretches beyond the cutoff.  Null and blank texts have n_chars 0 and nulls.
+    n_words, n_lines and the statistics are the whole text's own, over its real
+    lines; distance and contributions are means over the stretches by non-blank
+    characters, and outlier_share is the share of these characters in stretches
+    beyond the cutoff.  Null and blank texts have n_chars, n_words and n_lines 0
+    and nulls.
     """
     mean = lambda e: F.sum(F.col("weight") * e) / F.sum("weight")
     per = measured_stretches(documents, words, work).groupBy("doc_id").agg(
         F.sum("weight").alias("n_chars"),
-        *[mean(F.col("s")[k]).alias(name) for k, name in enumerate(prose.STATISTICS)],
+        F.max("whole").alias("whole"),
         F.sqrt(F.greatest(mean(F.col("d2")), F.lit(0.0))).alias("distance"),
         mean((F.col("d2") > CUTOFF).cast("double")).alias("outlier_share"),
         *[mean(F.col("c")[k]).alias(f"{name}_part") for k, name in enumerate(prose.STATISTICS)],
     )
+    counts = [F.col("whole")[k].cast("bigint").alias(name) for k, name in enumerate(prose.COUNTS)]
+    own = [F.col("whole")[k + len(counts)].alias(name) for k, name in enumerate(prose.STATISTICS)]
+    per = per.select("doc_id", "n_chars", *counts, *own, "distance", "outlier_share", *[f"{name}_part" for name in prose.STATISTICS])
     ids = documents.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("bigint").alias("doc_id")).distinct()
-    return ids.join(per, "doc_id", "left").withColumn("n_chars", F.coalesce("n_chars", F.lit(0)))
+    return ids.join(per, "doc_id", "left").fillna(0, ["n_chars", *prose.COUNTS])
 
 
 def not_prose(quality: DataFrame) -> DataFrame:

@@ -127,6 +127,23 @@ def test_text_quality(spark, work):
     assert quality.not_prose(quality.text_quality(docs.limit(0), words, work)).count() == 0
 
 
+def test_statistics_are_the_whole_texts(spark, work):
+    line = "The bread of the shop is good " * 13 + "now."
+    lines = "the end of it.\r\n\r\nNo stop # here\n- 12 of that!"
+    docs = spark.createDataFrame([(1, "en", line), (2, "en", lines), (3, "zh", "我是人。\n你也是"), (4, "en", " \n"), (5, "en", None)], "doc_id bigint, lang string, text string")
+    got = {r["doc_id"]: r for r in quality.text_quality(docs, spark.createDataFrame(WORDS, "lang string, word string"), work).collect()}
+    one, two, three = got[1], got[2], got[3]
+    assert (one["n_words"], one["n_lines"], one["end_share"]) == (92, 1, 1.0)  # one line of 394 characters, not two or three
+    assert one["word_length"] == pytest.approx((13 * 23 + 3) / 92) and one["common_share"] == pytest.approx(13 * 4 / 92)
+    assert one["variety"] == pytest.approx(7 / 92) and one["line_words"] == pytest.approx(np.log1p(92)) and one["symbol_share"] == 0
+    assert (two["n_words"], two["n_lines"], two["n_chars"]) == (9, 3, 32)
+    assert two["end_share"] == pytest.approx(2 / 3) and two["bullet_share"] == pytest.approx(1 / 3)
+    assert two["symbol_share"] == pytest.approx(1 / 32) and two["digit_share"] == pytest.approx(2 / 32) and two["common_share"] == pytest.approx(5 / 9)
+    assert (three["n_words"], three["n_lines"], three["word_length"], three["end_share"]) == (6, 2, 1.0, 0.5)
+    for i in (4, 5):
+        assert (got[i]["n_words"], got[i]["n_lines"], got[i]["n_chars"], got[i]["end_share"]) == (0, 0, 0, None)
+
+
 @given(st.text(max_size=600))
 @settings(max_examples=200, deadline=None)
 def test_stretches_hold_every_character(text):
