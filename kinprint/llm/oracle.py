@@ -36,6 +36,15 @@ c as (select rid, min(rid) over (partition by list_sort(s)) class_id from l),
 pairs_ as (select distinct x.class_id c1, y.class_id c2 from a join c x on x.rid = id1 join c y on y.rid = id2 where c >= 0.75 * (n1 + n2 - c) and x.class_id <> y.class_id),
 d as (select v, count(distinct w) links from (select c1 v, c2 w from pairs_ union all select c2, c1 from pairs_) group by v)
 select rid, class_id, coalesce(links, 0) links from c left join d on d.v = class_id""",
+    "p3_known": f"""with hs as (select rid id, {_SET.format("hashes")} s from ({_ROWS}) where token_count >= 40),
+ks as (select ref_id id, any_value({_SET.format("hashes")}) s from known_solutions where ref_id is not null group by ref_id),
+hc as (select id, case when len(s) > 0 then min(id) over (partition by list_sort(s)) else id end class_id from hs),
+kc as (select id, case when len(s) > 0 then min(id) over (partition by list_sort(s)) else id end class_id from ks),
+h as (select id, unnest(s) x, len(s) n from hs), k as (select id, unnest(s) x, len(s) n from ks),
+b as (select k.id i, h.id j, count(*) c, any_value(k.n) n1, any_value(h.n) n2 from k join h on k.x = h.x group by k.id, h.id),
+p as (select distinct kc.class_id c1, hc.class_id c2 from b join kc on kc.id = i join hc on hc.id = j where c >= 0.5 * (n1 + n2 - c))
+select 'known' side, id, class_id, (select count(*) from p where c1 = class_id) links from kc
+union all select 'row', id, class_id, (select count(*) from p where c2 = class_id) from hc""",
     "p4_found": f"""with recursive {_JOIN.format(_SET.format("hashes"), _ROWS)},
 both_ as materialized (select id1 a, id2 b from a where 2 * c >= 0.75 * (n1 + n2) union all select id2, id1 from a where 2 * c >= 0.75 * (n1 + n2)),
 {_COMPONENTS.format(edges="both_")}

@@ -40,10 +40,16 @@ def p3_links(spark: SparkSession, folder: str) -> DataFrame:
     sets = _sets(spark, folder, "lex_base_hashes")
     links, copies = setjoin.similar_within(sets, 0.75, Workspace(spark, "p3c"))
     both = links.select(F.col("id1").alias("class_id")).unionByName(links.select(F.col("id2").alias("class_id")))
-    degree = both.groupBy("class_id").agg(F.count(F.lit(1)).alias("links"))
-    rows = sets.select(F.col("id").alias("rid")).distinct().join(copies.withColumnRenamed("id", "rid"), "rid", "left")
-    rows = rows.select("rid", F.coalesce("rep", "rid").alias("class_id"))
-    return rows.join(degree, "class_id", "left").select("rid", "class_id", F.coalesce("links", F.lit(0)).alias("links"))
+    return setjoin.class_counts(sets, copies, both).withColumnRenamed("id", "rid")
+
+
+def p3_known(spark: SparkSession, folder: str) -> DataFrame:
+    """Per known solution and per counted row (side) its class of equal hash sets and the number of classes of the other side it is similar to."""
+    known, sets = _known(spark, folder), _sets(spark, folder, "hashes")
+    links, of_known, of_rows = setjoin.similar_between(known, sets, 0.5, Workspace(spark, "p3d"))
+    sides = (("known", known, of_known, "id1"), ("row", sets, of_rows, "id2"))
+    one, two = (setjoin.class_counts(s, copies, links.select(F.col(end).alias("class_id"))).select(F.lit(side).alias("side"), "*") for side, s, copies, end in sides)
+    return one.unionByName(two)
 
 
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -117,5 +123,5 @@ def p9_found(spark: SparkSession, folder: str) -> DataFrame:
     return quality.not_prose(p9_quality(spark, folder))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p3_found, p3_links, p4_found, p5_found, p5_log_entropy, p6_found, p6_shares, p7_packed, p7_report, p8_mixture, p8_shares, p9_quality, p9_found)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p3_found, p3_links, p3_known, p4_found, p5_found, p5_log_entropy, p6_found, p6_shares, p7_packed, p7_report, p8_mixture, p8_shares, p9_quality, p9_found)}
 SQL: dict[str, str] = oracle.SQL

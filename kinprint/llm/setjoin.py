@@ -141,6 +141,16 @@ def similar_between(queries: DataFrame, sets: DataFrame, threshold: float, work:
     return links, q_copies, s_copies
 
 
+def class_counts(sets: DataFrame, copies: DataFrame, ends: DataFrame) -> DataFrame:
+    """Per id of sets its class (the smallest id with the same set) and how many links the class has: id, class_id, links.
+
+    ends: class_id, once for each link that ends there.
+    """
+    degree = ends.groupBy("class_id").agg(F.count(F.lit(1)).alias("links"))
+    rows = sets.select("id").distinct().join(copies, "id", "left").select("id", F.coalesce("rep", "id").alias("class_id"))
+    return rows.join(degree, "class_id", "left").select("id", "class_id", F.coalesce("links", F.lit(0)).alias("links"))
+
+
 def expand_within(links: DataFrame, copies: DataFrame) -> DataFrame:
     """Links between classes and their copies as pairs of ids (id1 < id2)."""
     one = links.select("id1", "id2")

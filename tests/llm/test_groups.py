@@ -101,6 +101,19 @@ def test_similar_between(spark, work):
     assert got <= want and len(got) >= 0.97 * len(want) > 30
 
 
+def test_known_solutions_as_classes_and_counts(spark, tmp_path):
+    from kinprint.llm import queries
+
+    a, b = list(range(100)), list(range(1000, 1100))
+    known = [(1, a), (2, a[::-1]), (3, b), (4, list(range(5000, 5100))), (5, []), (None, a)]
+    found = [(10, a), (11, a), (12, a[:80]), (13, b[:60] + a[:5]), (14, list(range(9000, 9100))), (15, None), (10, a)]
+    spark.createDataFrame(known, "ref_id bigint, hashes array<bigint>").write.parquet(str(tmp_path / "known_solutions.parquet"))
+    counted = [(r, h, 50, 8, 3) for r, h in found] + [(16, a, 39, 8, 3), (17, a, 50, 7, 3)]
+    spark.createDataFrame(counted, "rid bigint, hashes array<bigint>, token_count int, k int, schema_version int").write.parquet(str(tmp_path / "features.parquet"))
+    got = rows(queries.QUERIES["p3_known"](spark, str(tmp_path)))
+    assert got == [("known", 1, 1, 2), ("known", 2, 1, 2), ("known", 3, 3, 1), ("known", 4, 4, 0), ("known", 5, 5, 0)] + [("row", 10, 10, 1), ("row", 11, 10, 1), ("row", 12, 12, 1), ("row", 13, 13, 1), ("row", 14, 14, 0), ("row", 15, 15, 0)]
+
+
 def test_empty_joins(spark, work):
     none = spark.createDataFrame([], SETS)
     found, copies = setjoin.similar_within(none, 0.75, work)
