@@ -99,7 +99,7 @@ _CLEAN = "select distinct on (tid, pid, rid1, rid2) tid, pid, uid1, uid2, rid1,
 
 @query(f"select {_IDS}, similarity from (select *, row_number() over (partition by tid order by -similarity, pid, uid1, uid2, rid1, rid2) i from ({_CLEAN})) where i <= 200")
 def pair_cap(spark: SparkSession, folder: str) -> DataFrame:
-    """The 200 most similar pairs of every contest (a report's cap; 50 000 by default)."""
+    """The 200 most similar pairs of every contest, of the rows that lack nothing (pair_report: a report's own cap, all rows)."""
     names = ["tid", "pid", "uid1", "uid2", "rid1", "rid2", "similarity"]
     rows = _pairs(spark, folder).select(*names).dropna(subset=names)
     once = latest.latest_per_key(rows, ["tid", "pid", "rid1", "rid2"], ["similarity", "uid1", "uid2"])
@@ -107,6 +107,23 @@ def pair_cap(spark: SparkSession, folder: str) -> DataFrame:
     return report.capped(work.write(once), ["tid"], 200, work).select(*names)
 
 
+_ONE_EACH = "select distinct on (tid, pid, rid1, rid2, case when rid1 is null or rid2 is null then uid1 end, case when rid1 is null or rid2 is null then uid2 end) tid, pid, uid1, uid2, rid1, rid2, similarity from pairs order by tid, pid, rid1, rid2, case when rid1 is null or rid2 is null then uid1 end, case when rid1 is null or rid2 is null then uid2 end, similarity desc nulls last, uid1 desc nulls last, uid2 desc nulls last"
+
+
+@query(f"select {_IDS}, similarity from (select *, row_number() over (partition by tid order by similarity desc nulls last, pid nulls first, uid1 nulls first, uid2 nulls first, rid1 nulls first, rid2 nulls first) i from ({_ONE_EACH})) where i <= {report.REPORT_CAP}")
+def pair_report(spark: SparkSession, folder: str) -> DataFrame:
+    """Every pair once, of a contest the 50 000 most similar ones at most; rows without an id or a similarity count, too.
+
+    Rows that lack a rid are the same pair only if they agree in the users as well.
+    """
+    names = ["tid", "pid", "uid1", "uid2", "rid1", "rid2", "similarity"]
+    user = lambda n: F.when(F.col("rid1").isNull() | F.col("rid2").isNull(), F.col(f"uid{n}"))
+    rows = _pairs(spark, folder).select(*names, user(1).alias("__u1"), user(2).alias("__u2"))
+    once = latest.latest_per_key(rows, ["tid", "pid", "rid1", "rid2", "__u1", "__u2"], ["similarity", "uid1", "uid2"])
+    work = Workspace(spark, "report")
+    return report.capped(work.write(once.select(*names)), ["tid"], report.REPORT_CAP, work)
+
+
 _SIDES = """sides as (select uid1 uid, uid2 partner, flags1 flags, pid, similarity, level, shared_comments from pairs union all select uid2, uid1, flags2, pid, similarity, level, shared_comments from pairs)"""
 
 

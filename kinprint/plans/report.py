@@ -11,6 +11,8 @@ from kinprint.session import Workspace
 
 PAGE = 50
 GRAPH_LIMIT = 20_000
+#: Pairs of a report at most.
+REPORT_CAP = 50_000
 RATIO_METRICS = {"seq": "sim_seq", "lex": "sim_lex", "tfidf": "sim_tfidf", "var": "sim_var", "func": "sim_func", "struct": "sim_struct"}
 
 
@@ -42,10 +44,17 @@ def page(pairs: DataFrame, number: int = 1, metric: str | None = None, size: int
 def capped(pairs: DataFrame, keys: list[str], most: int, work: Workspace) -> DataFrame:
     """The first `most` pairs of each key by similarity downwards, pid and ids.
 
+    As on a page, null similarities come last (after NaN) and null ids first.  No row may stand twice.
     The cut is found by histograms (see skew.ranked_rows), so a key of any size is never sorted in one task.
     """
-    order = ["__neg", "pid", "uid1", "uid2", "rid1", "rid2"]
-    rows = pairs.withColumn("__neg", -F.col("similarity"))
+    ids = ["pid", "uid1", "uid2", "rid1", "rid2"]
+    # ranked_rows takes no null: each order column is a flag for its nulls and a value without them.
+    scored = F.when(F.isnan("similarity"), 1).when(F.col("similarity").isNull(), 2).otherwise(0)
+    columns = {"__neg0": scored, "__neg1": F.when(scored == 0, -F.col("similarity")).otherwise(0.0)}
+    for c in ids:
+        columns |= {f"__{c}0": F.col(c).isNotNull().cast("int"), f"__{c}1": F.coalesce(c, F.lit(0))}
+    order = list(columns)
+    rows = pairs.withColumns(columns)
     cut = ranked_rows(work.write(rows.select(*keys, *order)), keys, order, work, F.least(F.col("__n"), F.lit(most)))
     cut = cut.select(*keys, F.struct(*order).alias("__cut"))
     return salted_join(rows, cut, keys, ["rid1", "rid2"]).where(F.struct(*order) <= F.col("__cut")).select(pairs.columns)

@@ -102,6 +102,22 @@ def test_prefix_filter_is_exact(spark):
         assert rows(simjoin.pairs_at_least(df, t).select("rep1", "rep2", "common")) == rows(full)
 
 
+def test_cap_with_nulls(spark, work, tmp_path):
+    import __spark_entry__ as e
+
+    ddl = "tid string, pid bigint, uid1 bigint, uid2 bigint, rid1 bigint, rid2 bigint, similarity double"
+    best, twin, no_rid, nan, null = ("t", 1, 1, 2, 1, 2, 0.9), ("t", None, 1, 2, 1, 3, 0.9), ("t", 1, 1, 2, None, 4, 0.5), ("t", 1, 1, 2, 1, 5, float("nan")), ("t", 1, None, 2, 1, 6, None)
+    order, other = [twin, best, no_rid, nan, null], (None, 1, 1, 2, 1, 2, None)
+    pairs = spark.createDataFrame([*order[::-1], other], ddl)
+    for most in range(1, 7):
+        assert rows(report.capped(pairs, ["tid"], most, work).na.fill(-1.0, ["similarity"])) == rows(spark.createDataFrame([*order[:most], other], ddl).na.fill(-1.0, ["similarity"]))
+    folder = str(tmp_path)
+    more = [("t", 1, 1, 2, 1, 2, 0.8), ("t", 1, 7, 2, None, 4, 0.5)]  # an older row of a pair; another pair without a rid
+    pairs.unionByName(spark.createDataFrame(more, ddl)).write.parquet(folder + "/pairs.parquet")
+    got = e.queries()["pair_report"](spark, folder)
+    assert got.count() == 7 and got.where("similarity = 0.8").count() == 0 and got.where("rid1 is null").count() == 2
+
+
 def test_reports(spark, work, tmp_path):
     ddl = "domain_id string, tid string, pid bigint, uid1 bigint, uid2 bigint, rid1 bigint, rid2 bigint, similarity double, level int, sim_lex double, shared_comments int, flags1 array<string>, flags2 array<string>"
     pairs = spark.createDataFrame([("d", "t", 1, 10, 20, 1, 2, 0.99, 3, 0.8, 1, ["freopen"], None), ("d", "t", 2, 30, 10, 3, 1, 0.8, 2, None, 0, ["fork"], None), ("d", "u", 1, 30, 40, 5, 6, 0.6, 1, 0.2, 0, None, None)], ddl)
