@@ -5,6 +5,7 @@ from __future__ import annotations
 import heapq
 import math
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -82,16 +83,41 @@ def quotas(available: DataFrame, targets: DataFrame, total_tokens: int | None =
     return rows
 
 
+_BLOCKS = "source string, shard int, held bigint, cap int, blocks bigint"
+
+
+def _shard_blocks(block: int):
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        held = dict(zip(frame["shard"].tolist(), frame["held"].tolist()))
+        cap = int(frame["cap"].iloc[0])
+        got = sainte_lague(held, int(frame["quota"].iloc[0]) // block, {h: -(-n * cap // block) for h, n in held.items()})
+        return frame.assign(blocks=[got[h] for h in frame["shard"].tolist()])[["source", "shard", "held", "cap", "blocks"]]
+
+    return run
+
+
+def shard_blocks(stock: DataFrame, plan: DataFrame, block: int = BLOCK) -> DataFrame:
+    """A source's quota of whole blocks dealt to its shards by highest quotients of their tokens: source, shard, held, cap, blocks.
+
+    stock: source, shard, held (one row a shard, so a source's rows fit one task).
+    plan: source, quota, cap.  A shard's texts, laid in a line cap times over, make
+    ceil(held * cap / block) blocks, so every block of the quota finds a shard.
+    """
+    return stock.join(plan.select("source", "quota", "cap"), "source").groupBy("source").applyInPandas(_shard_blocks(block), _BLOCKS)
+
+
 def mixture(counts: DataFrame, targets: DataFrame, work: Workspace, total_tokens: int | None = None, block: int = BLOCK, seed: int = 1, shard: int = SHARD) -> tuple[DataFrame, DataFrame]:
     """(texts: doc_id, source, n_tokens, copies; report: the shares wanted and reached per source).
 
     counts: doc_id, source, n_tokens.  Texts of no tokens, of no source or of a source
-    without a target are left out.  A source's quota is divided over its shards in
-    proportion to their tokens by rounding the running sum, so integer quotas add up.
-    In a shard the texts are laid on a line in a seeded order and cut into equal
-    blocks; whole rounds over the line are taken first, then the blocks up to the
-    quota, a text going with the block that holds its middle token.  So no text is
-    taken more than max_repeats times, and none is cut.
+    without a target are left out.  A source's quota is dealt to its shards in whole
+    blocks (shard_blocks).  In a shard the texts are laid on a line in a seeded order,
+    max_repeats times over, and the line is cut into numbered blocks of `block`
+    tokens, the last one shorter; a copy of a text goes with the block that holds its
+    middle token.  Blocks are taken by number up to the quota: as the order of the
+    texts is random, the first blocks are a random choice, and at one edge only can a
+    text reach over them.  So no text is taken more than max_repeats times, and none
+    is cut.
     """
     texts = counts.where(F.col("n_tokens") > 0).select("doc_id", clean_source().alias("source"), F.col("n_tokens").cast("bigint").alias("n_tokens")).where(F.col("source").isNotNull())
     shards = max(1, math.ceil(counts.count() / shard))
@@ -101,18 +127,14 @@ def mixture(counts: DataFrame, targets: DataFrame, work: Workspace, total_tokens
     spark = counts.sparkSession
     ddl = "source string, target_share double, max_repeats int, tokens bigint, quota bigint"
     plan = spark.createDataFrame([(r["source"], r["target_share"], r["max_repeats"], r["tokens"], r["quota"]) for r in rows], ddl)
-    upto = Window.partitionBy("source").orderBy("shard").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    per_shard = stock.join(plan.select("source", "tokens", "quota", F.greatest(F.coalesce("max_repeats", F.lit(1)), F.lit(1)).alias("cap")), "source").withColumn("run", F.sum("held").over(upto))
-    d = lambda c: f"cast({c} as decimal(19,0))"
-    point = lambda c: F.expr(f"cast(({d(c)} * {d('quota')} + {d('tokens div 2')}) div {d('tokens')} as bigint)")
-    per_shard = per_shard.withColumn("before", F.col("run") - F.col("held"))
-    per_shard = per_shard.select(F.col("source").alias("s"), F.col("shard").alias("h"), "held", "cap", (point("run") - point("before")).alias("share"))
+    per_shard = shard_blocks(stock, plan.withColumn("cap", F.greatest(F.coalesce("max_repeats", F.lit(1)), F.lit(1))), block)
+    per_shard = per_shard.select(F.col("source").alias("s"), F.col("shard").alias("h"), "held", "cap", (F.col("blocks") * block).alias("upto"))
     line = Window.partitionBy("source", "shard").orderBy(F.xxhash64("doc_id", F.lit(seed + 1)), "doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     laid = texts.withColumn("end", F.sum("n_tokens").over(line))
     laid = laid.join(per_shard, (F.col("source") == F.col("s")) & (F.col("shard") == F.col("h")))
-    rounds = F.expr("share div held")
-    extra = (F.col("end") - F.col("n_tokens") / 2) <= F.expr("share - (share div held) * held")
-    taken = laid.withColumn("copies", F.least(rounds + F.when(extra, 1).otherwise(0), F.col("cap")).cast("int")).where(F.col("copies") > 0)
+    # Copy j (from 0) has its middle at j * held + end - n_tokens / 2, and those before the end of the last block are taken.
+    before = F.expr("(2 * upto - (2 * end - n_tokens) + 2 * held - 1) div (2 * held)")
+    taken = laid.withColumn("copies", F.least(before, F.col("cap")).cast("int")).where(F.col("copies") > 0)
     taken = work.write(taken.select("doc_id", "source", "n_tokens", "copies"))
     got = taken.groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("copies")).alias("taken_tokens"), F.count(F.lit(1)).alias("texts"), F.max("copies").alias("most_copies"))
     report = plan.join(got, "source", "left").withColumn("taken_tokens", F.coalesce("taken_tokens", F.lit(0)))

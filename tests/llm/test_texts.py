@@ -60,6 +60,14 @@ def highest_quotients(weights, seats, caps=None):
     return held
 
 
+def highest_quotients_of(weights, seats, caps):
+    held = dict.fromkeys(weights, 0)
+    for _ in range(seats):
+        best = min((n for n in weights if held[n] < caps[n]), key=lambda n: (-weights[n] / (2 * held[n] + 1), n))
+        held[best] += 1
+    return held
+
+
 @given(st.lists(st.integers(1, 50), min_size=1, max_size=8), st.integers(0, 300))
 @settings(max_examples=200, deadline=None)
 def test_sainte_lague_gives_the_highest_quotients(weights, seats):
@@ -91,6 +99,27 @@ def test_mixture(spark, work):
     assert none.count() == 0 and empty.agg(F.sum("taken_tokens")).first()[0] == 0
 
 
+def test_shards_have_whole_blocks(spark):
+    held = {"a": [630, 1, 200, 65, 5000], "b": [64, 64, 64], "c": [100]}
+    stock = spark.createDataFrame([(s, i, n) for s, x in held.items() for i, n in enumerate(x)], "source string, shard int, held bigint")
+    plan = spark.createDataFrame([("a", 64 * 40, 1), ("b", 64 * 7, 3), ("c", 64 * 3, 2), ("z", 0, 1)], "source string, quota bigint, cap int")
+    got = {}
+    for r in mixing.shard_blocks(stock, plan).collect():
+        got.setdefault(r["source"], {})[r["shard"]] = r["blocks"]
+    assert {s: sum(x.values()) for s, x in got.items()} == {"a": 40, "b": 7, "c": 3}
+    for s, seats, cap in (("a", 40, 1), ("b", 7, 3), ("c", 3, 2)):
+        assert got[s] == highest_quotients_of(dict(enumerate(held[s])), seats, {i: -(-n * cap // 64) for i, n in enumerate(held[s])})
+
+
+def test_texts_go_with_their_blocks(spark, work):
+    counts = spark.createDataFrame([(i, "s", 16) for i in range(40)], "doc_id bigint, source string, n_tokens int")
+    targets = spark.createDataFrame([("s", 1.0, 3)], "source string, target_share double, max_repeats int")
+    # 90 tokens are one whole block of 64: four texts of 16; 64 * 13 of 640 tokens are one round of ten blocks and three more.
+    for total, want in ((90, {1: 4}), (64 * 13 + 40, {1: 28, 2: 12}), (640 * 3, {3: 40})):
+        texts = mixing.mixture(counts, targets, work, total_tokens=total)[0]
+        assert {r["copies"]: r["count"] for r in texts.groupBy("copies").count().collect()} == want
+
+
 @VOCABULARY
 def test_token_counts(spark):
     enc = tokens.encoder()
