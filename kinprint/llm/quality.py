@@ -25,7 +25,7 @@ CUTOFF, STEPS = 13.0, 4
 #: Least standard deviations, in the order of the statistics: prose that is all alike must not make the distance boundless.
 FLOORS = np.array([0.04, 0.06, 0.08, 0.1, 0.08, 0.35, 0.4, 0.2, 0.35, 0.25])
 _SIDES = np.array(list(prose.SIDES.values()), dtype=np.float64)
-#: Stretches a language needs for a fit of its own; below, and for unknown languages, all languages' prose serves.
+#: Stretches at which a language's own mean and covariance count as much as those of all languages together.
 ENOUGH = 30
 
 _DDL = "doc_id bigint, lang string, weight int, s array<double>, whole array<double>"
@@ -68,19 +68,25 @@ def _measure(common: dict[str, frozenset]):
 
 
 class Model:
-    """Mean and inverse covariance by language; '*' stands for every language without its own."""
+    """Mean and inverse covariance by language, drawn to those of all languages by ENOUGH / (ENOUGH + stretches); '*' is a language without any."""
 
     def __init__(self, moments: dict[str, np.ndarray]):
         total = sum(moments.values(), np.zeros(1 + D + D * D))
         self.mean: dict[str, np.ndarray] = {}
         self.inverse: dict[str, np.ndarray] = {}
-        for lang, m in {**moments, "*": total}.items():
-            if m[0] >= ENOUGH or lang == "*":
-                n = max(m[0], 1.0)
-                mean = m[1 : 1 + D] / n
-                cov = m[1 + D :].reshape(D, D) / n - np.outer(mean, mean)
-                self.mean[lang] = mean
-                self.inverse[lang] = np.linalg.inv(cov + np.diag(FLOORS**2))
+        shared_mean, shared_cov = self._fit(total)
+        for lang, m in {**moments, "*": np.zeros_like(total)}.items():
+            own = m[0] / (m[0] + ENOUGH)
+            mean, cov = self._fit(m)
+            mean, cov = own * mean + (1 - own) * shared_mean, own * cov + (1 - own) * shared_cov
+            self.mean[lang] = mean
+            self.inverse[lang] = np.linalg.inv(cov + np.diag(FLOORS**2))
+
+    @staticmethod
+    def _fit(m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        n = max(m[0], 1.0)
+        mean = m[1 : 1 + D] / n
+        return mean, m[1 + D :].reshape(D, D) / n - np.outer(mean, mean)
 
     def contributions(self, lang: np.ndarray, s: np.ndarray, weight: np.ndarray) -> np.ndarray:
         """What each statistic adds to the squared distance of each row.

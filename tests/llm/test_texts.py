@@ -173,6 +173,24 @@ def test_statistics_are_the_whole_texts(spark, work):
         assert (got[i]["n_words"], got[i]["n_lines"], got[i]["n_chars"], got[i]["end_share"]) == (0, 0, 0, None)
 
 
+def test_a_rare_language_has_no_threshold():
+    rnd = np.random.default_rng(6)
+
+    def moments(x):
+        return np.concatenate(([len(x)], x.sum(axis=0), (x.T @ x).reshape(-1)))
+
+    many, few = rnd.normal(0.5, 0.1, (4000, quality.D)), rnd.normal(0.9, 0.1, (60, quality.D))
+    probe = np.full((1, quality.D), 1.2)
+    d2 = []
+    for n in range(61):
+        model = quality.Model({"en": moments(many), **({"xx": moments(few[:n])} if n else {})})
+        d2.append(float(model.contributions(np.array(["xx"]), probe, np.array([100.0])).sum()))
+        if n:
+            assert 0.5 < model.mean["xx"].mean() < 0.9
+    assert max(abs(np.diff(d2))) < 0.25 * (max(d2) - min(d2)) and d2[60] < d2[0]
+    assert len(quality.Model({}).mean) == 1
+
+
 @given(st.text(max_size=600))
 @settings(max_examples=200, deadline=None)
 def test_stretches_hold_every_character(text):
