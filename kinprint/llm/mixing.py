@@ -10,10 +10,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kinprint.session import Workspace
+from kinprint.sources.tables import settings_rows
 
 BLOCK = 64
 #: Texts of a (source, shard) at most, about: the bound on a window's rows.
 SHARD = 20_000
+#: Sources of the settings at most; more are refused.
+MOST_SOURCES = 100_000
 
 
 def sainte_lague(weights: dict[str, float], seats: int, caps: dict[str, int] | None = None) -> dict[str, int]:
@@ -69,7 +72,7 @@ def quotas(available: DataFrame, targets: DataFrame, total_tokens: int | None =
     within its repeats; with it, sources at their cap leave their rest to the others.
     """
     wanted = targets.where(F.col("target_share") > 0).groupBy(clean_source().alias("source")).agg(F.sum("target_share").alias("target_share"), F.max("max_repeats").alias("max_repeats"))
-    rows = [r.asDict() for r in wanted.where(F.col("source").isNotNull()).join(available, "source", "left").orderBy("source").limit(100_000).collect()]
+    rows = [r.asDict() for r in settings_rows(wanted.where(F.col("source").isNotNull()).join(available, "source", "left").orderBy("source"), MOST_SOURCES, "mix_targets")]
     for r in rows:
         r["tokens"] = int(r["tokens"] or 0)
         r["most"] = r["tokens"] * max(1, r["max_repeats"] or 1)

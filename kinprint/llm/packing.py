@@ -10,8 +10,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kinprint.sources.tables import settings_rows
+
 #: Items of one shard: a bound on the memory and time of a packing task.
 SHARD = 8_000
+#: Capacities at most; more are refused.
+MOST_SPECS = 1000
 #: Of a container's tokens so many may bear loss, and it may hold a segment for each so many tokens.
 LOSS_SHARE, TOKENS_A_SEGMENT = 0.95, 16
 
@@ -64,7 +68,7 @@ def pieces(counts: DataFrame, specs: DataFrame) -> DataFrame:
     """
     settings = specs.where(F.col("spec_id").isNotNull() & (F.col("capacity_tokens") > 0)).groupBy("spec_id").agg(F.max("capacity_tokens").alias("capacity"))
     # Each text is repeated for each setting, which is what is asked for; nothing is compared.
-    capacities = [(r["spec_id"], r["capacity"]) for r in settings.orderBy("spec_id").limit(1000).collect()]
+    capacities = [(r["spec_id"], r["capacity"]) for r in settings_rows(settings.orderBy("spec_id"), MOST_SPECS, "pack_specs")]
     if not capacities:
         return counts.where(F.lit(False)).select(F.lit(0).cast("bigint").alias("spec_id"), F.lit(0).alias("capacity"), "doc_id", F.lit(0).alias("piece"), F.lit(0).alias("start_token"), "n_tokens", F.lit(0).alias("n_loss"))
     options = F.array(*[F.struct(F.lit(s).cast("bigint").alias("spec_id"), F.lit(c).cast("int").alias("capacity")) for s, c in capacities])
@@ -113,4 +117,4 @@ def container_report(items: DataFrame, specs: DataFrame) -> DataFrame:
     per = items.groupBy("spec_id", "container_id").agg(F.sum("n_tokens").alias("t"), F.count(F.lit(1)).alias("i"))
     per = per.groupBy("spec_id").agg(F.count(F.lit(1)).alias("containers"), F.sum("i").alias("items"), F.sum("t").alias("tokens"), F.max("t").alias("fullest"))
     caps = specs.groupBy("spec_id").agg(F.max("capacity_tokens").alias("capacity_tokens"))
-    return per.join(F.broadcast(caps.limit(1000)), "spec_id").select("spec_id", "capacity_tokens", "containers", "items", "tokens", "fullest", (F.col("tokens") / (F.col("containers") * F.col("capacity_tokens"))).alias("used_share"))
+    return per.join(F.broadcast(caps), "spec_id").select("spec_id", "capacity_tokens", "containers", "items", "tokens", "fullest", (F.col("tokens") / (F.col("containers") * F.col("capacity_tokens"))).alias("used_share"))

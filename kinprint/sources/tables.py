@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 #: k and schema_version of a features row that counts.
@@ -14,6 +14,14 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def settings_rows(df: DataFrame, most: int, name: str) -> list[Row]:
+    """All rows of a settings table; one of more than `most` rows is refused, not cut."""
+    rows = df.limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"{name} is a settings table of at most {most} rows")
+    return rows
+
+
 def counted_features(spark: SparkSession, folder: str, *columns: str) -> DataFrame:
     """The rows of the current fingerprint version with the given columns.
 

@@ -49,6 +49,22 @@ def test_packed_items(spark):
     assert packing.packed(spark.createDataFrame(data, COUNTS), specs.limit(0)).count() == 0
 
 
+def test_too_many_settings_are_refused(spark, monkeypatch):
+    specs = spark.range(1001).select(F.col("id").alias("spec_id"), (F.col("id") + 10).cast("int").alias("capacity_tokens"))
+    counts = spark.createDataFrame([(1, 5, 0)], COUNTS)
+    with pytest.raises(ValueError, match="pack_specs"):
+        packing.pieces(counts, specs)
+    assert packing.pieces(counts, specs.where("spec_id < 1000")).count() == 1000
+    items = spark.range(1001).selectExpr("id spec_id", "id container_id", "1 n_tokens")
+    assert packing.container_report(items, specs).count() == 1001
+    targets = spark.createDataFrame([("a", 0.5, 1), ("b", 0.5, 1)], "source string, target_share double, max_repeats int")
+    available = spark.createDataFrame([("a", 900), ("b", 900)], "source string, tokens bigint")
+    assert len(mixing.quotas(available, targets)) == 2
+    monkeypatch.setattr(mixing, "MOST_SOURCES", 1)
+    with pytest.raises(ValueError, match="mix_targets"):
+        mixing.quotas(available, targets)
+
+
 def highest_quotients(weights, seats, caps=None):
     held = dict.fromkeys(weights, 0)
     for _ in range(seats):
