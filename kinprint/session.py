@@ -11,10 +11,13 @@ import atexit
 import shutil
 import tempfile
 import uuid
+import weakref
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+atexit.register(lambda: release())
+
 DEFAULTS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
@@ -61,15 +64,41 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(2 * cores) if df.rdd.getNumPartitions() < 2 * cores else df
 
 
+_OPEN: list[Workspace] = []
+
+
+def release() -> None:
+    """Remove the tables of all jobs so far; call it once their results have been read."""
+    while _OPEN:
+        _OPEN.pop().close()
+
+
 class Workspace:
-    """Tables of one job below the checkpoint folder; drop() removes one early."""
+    """Tables of one job below the checkpoint folder.
+
+    drop() removes one early, close() (or leaving a with block) all of them.  As a
+    result is read from its job's tables, a job that returns a DataFrame leaves closing to its
+    caller: release() closes what is still open, at the end of the session at the latest.
+    """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/kinprint-{name}-{uuid.uuid4().hex[:12]}"
         self._n = 0
-        self._paths: dict[int, str] = {}
-        atexit.register(self._remove, self.root)
+        self._paths: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
+        _OPEN.append(self)
+
+    def __enter__(self) -> Workspace:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.close()
+
+    def close(self) -> None:
+        """Remove all tables of this job."""
+        if self in _OPEN:
+            _OPEN.remove(self)
+        self._remove(self.root)
 
     def write(self, df: DataFrame) -> DataFrame:
         """Write df once and read it back with the same columns and types."""
@@ -77,7 +106,7 @@ class Workspace:
         path = f"{self.root}/{self._n:04d}"
         df.write.parquet(path)
         back = self.spark.read.schema(df.schema).parquet(path)
-        self._paths[id(back)] = path
+        self._paths[back] = path
         return back
 
     def write_counted(self, df: DataFrame, test: Column) -> tuple[DataFrame, int]:
@@ -88,7 +117,7 @@ class Workspace:
 
     def drop(self, table: DataFrame | None) -> None:
         """Remove a table that no later step reads."""
-        path = self._paths.pop(id(table), None)
+        path = self._paths.pop(table, None) if table is not None else None
         if path:
             self._remove(path)
 
