@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -10,14 +14,66 @@ from kinprint.session import Workspace
 
 #: A vertex with more links than this (and more than a thousandth of all) is salted in joins.
 HOT = 50_000
-
-
-def _follow(rows: DataFrame, column: str, parents: DataFrame, hot: list, spread: str) -> DataFrame:
+#: Parents of at most so many rows may be broadcast (about 1 MB); larger tables meet by sort and merge.
+SMALL = 50_000
+#: Edges that a task contracts at a time: the bound on its memory.
+HELD = 1_000_000
+
+
+def local_roots(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The vertices of edges a-b but for the roots, and the smallest vertex of each one's component within these edges."""
+    ids, at = np.unique(np.concatenate((a, b)), return_inverse=True)
+    x, y = at[: len(a)], at[len(a) :]
+    label = np.arange(len(ids))
+    while len(x):
+        least = np.minimum(label[x], label[y])
+        np.minimum.at(label, label[x], least)
+        np.minimum.at(label, label[y], least)
+        while not np.array_equal(jumped := label[label], label):
+            label = jumped
+        apart = label[x] != label[y]
+        x, y = x[apart], y[apart]
+    inner = np.flatnonzero(label != np.arange(len(ids)))
+    return ids[inner], ids[label[inner]]
+
+
+def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Edges (k, a, b) of one partition as stars of the same components: the rounds then see forests of depth 1."""
+    held: list[tuple[np.ndarray, ...]] = []
+    n = 0
+
+    def done() -> Iterator[pa.RecordBatch]:
+        k, a, b = (np.concatenate(c) for c in zip(*held))
+        for kind in np.unique(k):
+            at = k == kind
+            member, root = local_roots(a[at], b[at])
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(member), kind), pa.int32()), pa.array(member), pa.array(root)], names=["k", "a", "b"])
+
+    for batch in batches:
+        held.append(tuple(np.asarray(c) for c in batch.columns))
+        n += batch.num_rows
+        if n >= HELD:
+            yield from done()
+            held, n = [], 0
+    if n:
+        yield from done()
+
+
+def contracted(edges: DataFrame) -> DataFrame:
+    """Edges (k, a, b) with the same components, each partition's own contracted to stars; null ends, loops and repeats fall away."""
+    rows = edges.where(F.col("a") != F.col("b")).select(F.col("k").cast("int").alias("k"), F.col("a").cast("bigint").alias("a"), F.col("b").cast("bigint").alias("b"))
+    return rows.mapInArrow(_contract, "k int, a bigint, b bigint")
+
+
+def _follow(rows: DataFrame, column: str, parents: DataFrame, hot: list, spread: str, n_parents: int) -> DataFrame:
     """Replace rows[column] by its parent where it has one of the same kind k.
 
     Rows of hot values are spread over salts by another column; only the few
     parents that are hot (at most a thousand) are repeated for each salt.
+    n_parents bounds the parents' rows; above SMALL they are never broadcast.
     """
+    if n_parents > SMALL:
+        parents = parents.hint("merge")
     parents = parents.select(F.col("k").alias("__k"), F.col("v").alias("__v"), F.col("p").alias("__p"))
     test = (F.col("k") == F.col("__k")) & (F.col(column) == F.col("__v"))
     if hot:
@@ -32,7 +88,8 @@ def linked_labels(edges: DataFrame, work: Workspace, hot: int = HOT) -> DataFram
     """Label every vertex of the edges (k, a, b) with the smallest vertex of its component: (k, v, p).
 
     Edges of different kinds k never meet; all kinds are solved by the same jobs.
-    Each round takes the smallest label across a vertex's edges as its parent,
+    Every partition first contracts its own edges (contracted).
+    Each round then takes the smallest label across a vertex's edges as its parent,
     follows parents to their roots by pointer jumping, and rewrites the edges
     between roots; every step's table is written to the checkpoint folder, and
     the rows that changed are counted while it is written.  The rounds end when
@@ -51,7 +108,7 @@ def linked_labels(edges: DataFrame, work: Workspace, hot: int = HOT) -> DataFram
         """Labels through several steps of parents: one plan for few rows, else a table a step, whose hubs are known."""
         out = steps[0]
         for i, parents in enumerate(steps[1:], 2):
-            out = _follow(out, "p", parents.where(F.col("p") != F.col("v")), hubs(out, "p", n), "v")
+            out = _follow(out, "p", parents.where(F.col("p") != F.col("v")), hubs(out, "p", n), "v", n)
             if n > hot or i == len(steps):
                 out = work.write(out)
         for parents in steps:
@@ -59,7 +116,7 @@ def linked_labels(edges: DataFrame, work: Workspace, hot: int = HOT) -> DataFram
         return out
 
     every: Column = F.lit(True)
-    live, n = work.write_counted(canonical(edges), every)
+    live, n = work.write_counted(canonical(contracted(edges)), every)
     steps: list[DataFrame] = []
     n_first = 0
     while n:
@@ -73,12 +130,12 @@ def linked_labels(edges: DataFrame, work: Workspace, hot: int = HOT) -> DataFram
             hopped = parents.select("k", "v", "p", F.col("p").alias("q"))
             # Few rows go two hops a table; of many only the first hop's hubs are known.
             for _ in range(1 if n_parents > hot else 2):
-                hopped = _follow(hopped, "p", inner, hot_parents, "v")
+                hopped = _follow(hopped, "p", inner, hot_parents, "v", n_parents)
             jumped, changed = work.write_counted(hopped, F.col("p") != F.col("q"))
             work.drop(parents)
             parents = jumped
-        moved = _follow(live, "a", parents, hubs(live, "a", n), "b")
-        moved = _follow(moved, "b", parents, hubs(live, "b", n), "a")
+        moved = _follow(live, "a", parents, hubs(live, "a", n), "b", n_parents)
+        moved = _follow(moved, "b", parents, hubs(live, "b", n), "a", n_parents)
         rest, m = work.write_counted(canonical(moved), every)
         work.drop(live)
         live, n = rest, m
