@@ -20,7 +20,7 @@ from kinprint.operators.skew import salted_join
 from kinprint.session import Workspace
 
 WINDOW, MMER = 32, 12
-#: Windows a string holds at most, and windows a bucket may hold before it is counted window by window.
+#: Windows a string holds at most, and windows a bucket may hold before it is cut by its windows' whole values.
 STRING, LARGE = 1024, 500_000
 _CHUNK = 250_000
 _FACTOR = 0x9FB21C651E98DF25
@@ -177,11 +177,15 @@ def _sorter(window: int):
 
 
 def _exploder(window: int):
+    """Every window of a string by itself, with its values as bytes."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (b.slice(at, 500) for b in batches for at in range(0, b.num_rows, 500)):
             values, at, _, rid, pos = _unpack(pa.Table.from_batches([batch]), window)
-            a, b = _rolling(values, window, 61)[at], _rolling(values, window, 71)[at]
-            yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), pa.array(rid), pa.array(pos.astype(np.int32))], names=["h1", "h2", "rid", "pos"])
+            data = np.lib.stride_tricks.sliding_window_view(values, window)[at]
+            ends = np.arange(len(at) + 1, dtype=np.int32) * (4 * window)
+            packed = pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(data))])
+            yield pa.RecordBatch.from_arrays([packed, pa.array(rid), pa.array(pos.astype(np.int32))], names=["w", "rid", "pos"])
 
     return run
 
@@ -193,8 +197,10 @@ def shared_spans(records: DataFrame, work: Workspace, window: int = WINDOW, mmer
     the same sequence.  Nulls in a sequence are left out, null and short sequences
     share nothing.  Positions count from 0, end_pos is exclusive.
 
-    Buckets of more than `large` windows are not gathered in one task: their windows
-    are counted by a combining aggregate under a 128-bit hash of their values.
+    Buckets of more than `large` windows are not gathered in one task: they are cut by
+    all values of their windows, whose records are counted by a combining aggregate,
+    so a window of a third of all records sends one row a task.  Both ways compare
+    values and give the same rows.
     """
     records = records.where(F.col("rid").isNotNull())
     counts = records.mapInArrow(_counter(window, mmer), "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n"))
@@ -206,10 +212,10 @@ def shared_spans(records: DataFrame, work: Workspace, window: int = WINDOW, mmer
     calm = strings.where(F.col("crowded").isNull()).drop("crowded") if some else strings
     spans = calm.repartition("key").sortWithinPartitions("key").mapInArrow(_sorter(window), "rid bigint, start_pos int, end_pos int")
     if some:
-        rows = strings.where(F.col("crowded").isNotNull()).select("key", "rid", "pos", "packed").mapInArrow(_exploder(window), "h1 bigint, h2 bigint, rid bigint, pos int")
+        rows = strings.where(F.col("crowded").isNotNull()).select("key", "rid", "pos", "packed").mapInArrow(_exploder(window), "w binary, rid bigint, pos int")
         rows = work.write(rows)
-        shared = rows.groupBy("h1", "h2").agg(F.min("rid").alias("a"), F.max("rid").alias("b")).where(F.col("a") != F.col("b")).select("h1", "h2")
-        marked = salted_join(rows, shared, ["h1", "h2"], ["rid", "pos"])
+        shared = rows.groupBy("w").agg(F.min("rid").alias("a"), F.max("rid").alias("b")).where(F.col("a") != F.col("b")).select("w")
+        marked = salted_join(rows, shared, ["w"], ["rid", "pos"])
         spans = spans.unionByName(marked.select("rid", F.col("pos").alias("start_pos"), (F.col("pos") + window).alias("end_pos")))
     return merged_spans(spans)
 
