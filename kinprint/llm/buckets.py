@@ -24,13 +24,18 @@ _PAIRS = pa.schema([("id1", pa.int64()), ("id2", pa.int64())])
 _BLOCK = 1_000_000
 
 
-def split_large(rows: DataFrame, cap: int) -> DataFrame:
-    """Add p, q, blk: the block pair a copy of the row is sent to, and the row's own block."""
+def split_large(rows: DataFrame, cap: int, neighbours: bool = False) -> DataFrame:
+    """Add p, q, blk: the block pair a copy of the row is sent to, and the row's own block.
+
+    neighbours: a block meets only itself, so no row is copied.
+    """
     large = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > cap)
     if not large.take(1):
         return rows.select("*", *[F.lit(0).alias(c) for c in ("p", "q", "blk")])
     cut = salted_join(rows, large.select("key", F.ceil(F.col("n") / cap).cast("int").alias("nb")), ["key"], ["id"], "left")
     cut = cut.withColumn("nb", F.coalesce("nb", F.lit(1))).withColumn("blk", F.pmod(F.hash("id"), F.col("nb")))
+    if neighbours:
+        return cut.select(*rows.columns, F.col("blk").alias("p"), F.col("blk").alias("q"), "blk")
     cut = cut.withColumn("other", F.explode(F.expr("sequence(0, nb - 1)")))
     return cut.select(*rows.columns, F.least("blk", "other").alias("p"), F.greatest("blk", "other").alias("q"), "blk")
 
@@ -125,13 +130,13 @@ class _Compare:
 def near_pairs(rows: DataFrame, radius: int, ratio: float, kind: str = "all", cap: int = CAP) -> DataFrame:
     """Distinct pairs (id1, id2) of rows that share a key and whose codes differ in at most `radius` bits.
 
-    kind: 'all' pairs with id1 < id2; 'next' only neighbours in the bucket's order
-    (one link for each row); 'labels' pairs of different label only; 'sides'
+    kind: 'all' pairs with id1 < id2; 'next' only neighbours in the order of a bucket or
+    of a block of it (one link for each row); 'labels' pairs of different label only; 'sides'
     pairs of a row of tag 0 (id1) and one of tag 1 (id2).  Rows have a column tag
     for the last two.  ratio: the least smaller size over larger size.
     """
     if "tag" not in rows.columns:
         rows = rows.withColumn("tag", F.lit(0).cast("bigint"))
     rows = rows.select("key", "id", "size", *[f"c{k}" for k in range(WORDS)], "tag")
-    rows = split_large(rows, cap).repartition("key", "p", "q").sortWithinPartitions("key", "p", "q", "tag", "id")
+    rows = split_large(rows, cap, kind == "next").repartition("key", "p", "q").sortWithinPartitions("key", "p", "q", "tag", "id")
     return rows.mapInArrow(_Compare(radius, ratio, kind), "id1 bigint, id2 bigint").distinct()

@@ -21,23 +21,37 @@ from pyspark.sql import functions as F
 
 from kinprint.llm.buckets import CAP, WORDS, near_pairs
 from kinprint.llm.sketches import digests, near_share, one_bit_minhashes, pack_words, ragged_sets, segments_needed, tail_radius
-from kinprint.operators.skew import salted_join
+from kinprint.operators.skew import hot_join, hot_values, salted_join
 from kinprint.session import Workspace, spread
 
-RECALL = 0.998
+RECALL = 0.9998
+#: An id with more pairs (and more than a thousandth of all) is salted where pairs meet their sets or copies.
+HUB = 50_000
+#: Copies of one set that meet each other in one task, about.
+COPIES = 2_000
 
 
 class Plan:
     """Segment length and count, probed bits and radius for a Jaccard threshold.
 
-    length grows with the logarithm of the number of rows, so buckets keep their size.
+    Of all lengths (and, with queries, of up to `probes` probed bits) the cheapest is taken:
+    rows sent to buckets, plus a twentieth of the comparisons that unlike rows cause there.
+    So length grows with the logarithm of the number of rows, and buckets keep their size.
     """
 
-    def __init__(self, threshold: float, rows: int, recall: float = RECALL, length: int | None = None, probe: int = 0):
+    def __init__(self, threshold: float, rows: int, recall: float = RECALL, queries: int | None = None, probes: int = 2):
         p = (1 - threshold) / 2
-        self.threshold, self.probe = threshold, probe
-        self.length = length or min(30, max(8, math.ceil(math.log2(max(rows, 2))) - 2))
-        self.count = segments_needed(near_share(self.length, p, probe), recall)
+        rows = max(rows, 2)
+
+        def choice(length: int, probe: int) -> tuple:
+            count = segments_needed(near_share(length, p, probe), recall)
+            sent = rows if queries is None else rows + queries * sum(math.comb(length, e) for e in range(probe + 1))
+            meetings = rows * rows / 2 if queries is None else rows * (sent - rows)
+            return count * (sent + meetings / 2**length / 20), length, probe, count
+
+        tried = [choice(length, probe) for length in range(8, 31) for probe in (range(probes + 1) if queries else (0,))]
+        _, self.length, self.probe, self.count = min(tried)
+        self.threshold = threshold
         self.radius = tail_radius(64 * WORDS, p, 1 - (1 - recall) / 4)
         self.bits = max(self.length * self.count, 64 * WORDS)
 
@@ -87,14 +101,17 @@ def low32(column: str) -> F.Column:
     return F.array_sort(F.array_distinct(F.transform(F.filter(F.coalesce(F.col(column), F.array().cast("array<bigint>")), lambda x: x.isNotNull()), lambda x: F.shiftright(F.shiftleft(x, 32), 32).cast("int"))))
 
 
-def verified(pairs: DataFrame, left: DataFrame, right: DataFrame, test) -> DataFrame:
-    """The pairs (id1, id2) whose sets pass test(common, size1, size2): id1, id2, common, size1, size2.
+def verified(pairs: DataFrame, left: DataFrame, right: DataFrame, test, n: int) -> DataFrame:
+    """The n pairs (id1, id2) whose sets pass test(common, size1, size2): id1, id2, common, size1, size2.
 
     left and right have id and elems; an id with several (equal) rows is taken once.
+    An id with a large part of all pairs is salted: its pairs meet its set in several tasks.
     """
-    pick = lambda s, n: s.select(F.col("id").alias(f"id{n}"), low32("elems").alias(f"s{n}")).groupBy(f"id{n}").agg(F.first(f"s{n}").alias(f"s{n}"))
-    only = lambda s, n: s.join(pairs.select(F.col(f"id{n}").alias("id")).distinct(), "id", "left_semi")
-    both = pairs.join(pick(only(left, 1), 1), "id1").join(pick(only(right, 2), 2), "id2")
+    hubs = {k: hot_values(pairs, k, HUB, total=n) if n > HUB else [] for k in ("id1", "id2")}
+    pick = lambda s, k: s.select(F.col("id").alias(f"id{k}"), low32("elems").alias(f"s{k}")).groupBy(f"id{k}").agg(F.first(f"s{k}").alias(f"s{k}"))
+    only = lambda s, k: s.join(pairs.select(F.col(f"id{k}").alias("id")).distinct(), "id", "left_semi")
+    both = hot_join(pairs, pick(only(left, 1), 1), "id1", hubs["id1"], "id2")
+    both = hot_join(both, pick(only(right, 2), 2), "id2", hubs["id2"], "id1")
     out = both.select("id1", "id2", F.size(F.array_intersect("s1", "s2")).alias("common"), F.size("s1").alias("size1"), F.size("s2").alias("size2"))
     return out.where(test(F.col("common"), F.col("size1"), F.col("size2")))
 
@@ -116,27 +133,27 @@ def similar_within(sets: DataFrame, threshold: float, work: Workspace, recall: f
     """
     plan = Plan(threshold, sets.count(), recall)
     classes, copies = sketch_classes(sets, plan, work)
-    found = work.write(near_pairs(_bucket_rows(classes), plan.radius, threshold, cap=cap))
+    found, n = work.write_counted(near_pairs(_bucket_rows(classes), plan.radius, threshold, cap=cap), F.lit(True))
     work.drop(classes)
-    links = work.write(verified(found, sets, sets, _jaccard_at_least(threshold)))
+    links = work.write(verified(found, sets, sets, _jaccard_at_least(threshold), n))
     work.drop(found)
     return links, copies
 
 
-def similar_between(queries: DataFrame, sets: DataFrame, threshold: float, work: Workspace, recall: float = RECALL, length: int = 16, probe: int = 2, cap: int = CAP) -> tuple[DataFrame, DataFrame, DataFrame]:
+def similar_between(queries: DataFrame, sets: DataFrame, threshold: float, work: Workspace, recall: float = RECALL, cap: int = CAP) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Pairs of a query set and a set of Jaccard >= threshold: (links, copies of queries, copies of sets).
 
-    The queries' segments are probed with up to `probe` flipped bits, so fewer
-    segments of the larger side are needed; queries should be the smaller table.
+    The queries' segments are probed with up to two flipped bits, if that pays (see Plan), so
+    fewer segments of the larger side are needed; queries should be the smaller table.
     """
-    plan = Plan(threshold, 2, recall, length, probe)
+    plan = Plan(threshold, sets.count(), recall, max(queries.count(), 1))
     q_classes, q_copies = sketch_classes(queries, plan, work, probing=True)
     s_classes, s_copies = sketch_classes(sets, plan, work)
     rows = _bucket_rows(q_classes).withColumn("tag", F.lit(0).cast("bigint")).unionByName(_bucket_rows(s_classes).withColumn("tag", F.lit(1).cast("bigint")))
-    found = work.write(near_pairs(rows, plan.radius, threshold, "sides", cap))
+    found, n = work.write_counted(near_pairs(rows, plan.radius, threshold, "sides", cap), F.lit(True))
     work.drop(q_classes)
     work.drop(s_classes)
-    links = work.write(verified(found, queries, sets, _jaccard_at_least(threshold)))
+    links = work.write(verified(found, queries, sets, _jaccard_at_least(threshold), n))
     work.drop(found)
     return links, q_copies, s_copies
 
@@ -151,20 +168,42 @@ def class_counts(sets: DataFrame, copies: DataFrame, ends: DataFrame) -> DataFra
     return rows.join(degree, "class_id", "left").select("id", "class_id", F.coalesce("links", F.lit(0)).alias("links"))
 
 
+def _crowded(df: DataFrame, column: str) -> list:
+    """The values of a column with more than HUB rows, at most the thousand largest."""
+    counts = df.groupBy(column).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > HUB)
+    return [r[0] for r in counts.orderBy(F.desc("n")).limit(1000).select(column).collect()]
+
+
+def _copied(links: DataFrame, copies: DataFrame, column: str, other: str) -> DataFrame:
+    """links once for each copy of the class in a column.
+
+    Classes of many links have their links salted, classes of many copies their copies.
+    """
+    m = copies.select(F.col("rep").alias(column), F.col("id").alias("__id"))
+    big = _crowded(copies, "rep")
+    few = links.where(~F.col(column).isin(big)) if big else links
+    out = hot_join(few, m, column, _crowded(few, column), other, "left")
+    if big:
+        out = out.unionByName(hot_join(m.where(F.col(column).isin(big)), links.where(F.col(column).isin(big)), column, big, "__id"))
+    return out.withColumn(column, F.coalesce("__id", column)).select("id1", "id2")
+
+
+def _copy_pairs(copies: DataFrame) -> DataFrame:
+    """All pairs of ids of one set (id1 < id2).  A set of many ids is cut into blocks whose pairs go to different tasks."""
+    blocks = copies.groupBy("rep").agg(F.ceil(F.count(F.lit(1)) / COPIES).cast("int").alias("nb"))
+    cut = salted_join(copies, blocks, ["rep"], ["id"]).withColumn("blk", F.pmod(F.hash("id"), F.col("nb")))
+    cut = cut.withColumn("other", F.explode(F.expr("sequence(0, nb - 1)"))).select("rep", "id", "blk", F.least("blk", "other").alias("p"), F.greatest("blk", "other").alias("q"))
+    x, y = (cut.select("rep", "p", "q", F.col("id").alias(f"id{k}"), F.col("blk").alias(f"blk{k}")) for k in (1, 2))
+    both = x.join(y, ["rep", "p", "q"]).where((F.col("id1") < F.col("id2")) & ((F.col("p") == F.col("q")) | (F.col("blk1") != F.col("blk2"))))
+    return both.select("id1", "id2")
+
+
 def expand_within(links: DataFrame, copies: DataFrame) -> DataFrame:
     """Links between classes and their copies as pairs of ids (id1 < id2)."""
-    one = links.select("id1", "id2")
-    for c in ("id1", "id2"):
-        m = copies.select(F.col("rep").alias(c), F.col("id").alias("__id"))
-        one = one.join(m, c, "left").withColumn(c, F.coalesce("__id", c)).drop("__id")
-    same = copies.alias("x").join(copies.alias("y"), (F.col("x.rep") == F.col("y.rep")) & (F.col("x.id") < F.col("y.id"))).select(F.col("x.id").alias("id1"), F.col("y.id").alias("id2"))
-    return one.select(F.least("id1", "id2").alias("id1"), F.greatest("id1", "id2").alias("id2")).unionByName(same)
+    one = _copied(_copied(links.select("id1", "id2"), copies, "id1", "id2"), copies, "id2", "id1")
+    return one.select(F.least("id1", "id2").alias("id1"), F.greatest("id1", "id2").alias("id2")).unionByName(_copy_pairs(copies))
 
 
 def expand_between(links: DataFrame, q_copies: DataFrame, s_copies: DataFrame) -> DataFrame:
     """Links between classes of two tables as pairs of ids."""
-    out = links.select("id1", "id2")
-    for c, copies in (("id1", q_copies), ("id2", s_copies)):
-        m = copies.select(F.col("rep").alias(c), F.col("id").alias("__id"))
-        out = out.join(m, c, "left").withColumn(c, F.coalesce("__id", c)).drop("__id")
-    return out.select("id1", "id2")
+    return _copied(_copied(links.select("id1", "id2"), q_copies, "id1", "id2"), s_copies, "id2", "id1")

@@ -63,24 +63,25 @@ def one_bit_minhashes(values: np.ndarray, offsets: np.ndarray, bits: int, seed:
     """A 0/1 matrix rows x bits: of each of `bits` random orders, one bit of the row's smallest element.
 
     Two sets of Jaccard similarity J agree in a bit with probability (1 + J) / 2.
-    Rows of empty sets are all 0.
+    Rows of empty sets are all 0.  The orders are those of 32-bit products, of which processors multiply eight at once.
     """
     n = len(offsets) - 1
     out = np.zeros((n, bits), dtype=np.uint8)
     full = np.flatnonzero(np.diff(offsets) > 0)
-    factors = mix(np.arange(bits, dtype=np.uint64), seed) | np.uint64(1)
-    width = 16
+    half = lambda x: (x >> np.uint64(32)).astype(np.uint32)
+    factors = half(mix(np.arange(bits, dtype=np.uint64), seed)) | np.uint32(1)
+    width = 32
     at = 0
     while at < len(full):
-        room = offsets[full[at]] + max(_STEP // width, 1)
+        room = offsets[full[at]] + max(_STEP // 5 // width, 1)
         stop = max(at + 1, int(np.searchsorted(offsets[full + 1], room, side="right")))
         rows = full[at:stop]
-        x = mix(values[offsets[rows[0]] : offsets[rows[-1] + 1]], seed + 100)
+        x = half(mix(values[offsets[rows[0]] : offsets[rows[-1] + 1]], seed + 100))
         starts = offsets[rows] - offsets[rows[0]]
         for c in range(0, bits, width):
             with np.errstate(over="ignore"):
                 least = np.minimum.reduceat(x[:, None] * factors[None, c : c + width], starts, axis=0)
-            out[rows, c : c + width] = (mix(least, 7) >> np.uint64(63)).astype(np.uint8)
+            out[rows, c : c + width] = (mix(least.astype(np.uint64), 7) >> np.uint64(63)).astype(np.uint8)
         at = stop
     return out
 
@@ -147,5 +148,24 @@ def near_share(length: int, p: float, errors: int) -> float:
 
 
 def segments_needed(q: float, recall: float) -> int:
-    """How many independent trials of chance q give at least one success with chance recall."""
+    """How many independent trials of chance q give at least one success with chance recall (below 1)."""
+    if not 0 < recall < 1:
+        raise ValueError("recall lies between 0 and 1; sketches cannot promise every pair")
     return 1 if q >= 1 else max(1, math.ceil(math.log(1 - recall) / math.log1p(-q)))
+
+
+def shared_bands_needed(values: int, rows: int, p: float, recall: float) -> int:
+    """How many bands of `rows` values, each chosen at random among `values`, find a pair with chance recall.
+
+    The pair agrees in a value with chance p.  As bands share values, the number of
+    values that agree is taken first (binomial; SuperMinHash varies less), then the bands given it.
+    """
+    agree = np.arange(values + 1)
+    logs = np.array([math.lgamma(values + 1) - math.lgamma(x + 1) - math.lgamma(values - x + 1) + x * math.log(p) + (values - x) * math.log1p(-p) for x in agree])
+    chance, hit = np.exp(logs), np.ones(values + 1)
+    for r in range(rows):
+        hit *= np.maximum(agree - r, 0) / (values - r)
+    bands = segments_needed(p**rows, recall)
+    while (chance * (1 - (1 - hit) ** bands)).sum() < recall:
+        bands += max(1, bands // 50)
+    return bands

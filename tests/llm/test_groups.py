@@ -187,3 +187,46 @@ def test_near_pairs_kinds(spark):
     assert rows(buckets.near_pairs(df, 3, 0.5, "sides")) == sorted((a, b) for a in (0, 2, 4) for b in (1, 5))
     assert rows(buckets.near_pairs(df, 3, 0.5, "labels", cap=2)) == rows(buckets.near_pairs(df, 3, 0.5, "labels"))
     assert len(rows(buckets.near_pairs(df, 200, 0.5, "next"))) <= 5
+
+
+def test_local_roots_are_components():
+    rnd = np.random.default_rng(2)
+    for n, m in ((1, 0), (5, 3), (50, 30), (200, 400)):
+        a, b = rnd.integers(0, n, (2, m))
+        parent = list(range(n))
+
+        def root(x):
+            while parent[x] != x:
+                x = parent[x]
+            return x
+
+        for x, y in zip(a, b):
+            p, q = sorted((root(x), root(y)))
+            parent[q] = p
+        got = dict(zip(*map(list, components.local_roots(a, b))))
+        assert got == {x: root(x) for x in {*a, *b} if root(x) != x}
+
+
+def test_copies_and_links_salted(spark, monkeypatch):
+    monkeypatch.setattr(setjoin, "HUB", 2)
+    monkeypatch.setattr(setjoin, "COPIES", 2)
+    links = [(1, k) for k in range(10, 16)] + [(2, 30), (3, 30)]
+    copies = [(1, 1), (101, 1), (102, 1), (103, 1), (30, 30), (130, 30), (11, 11), (111, 11)]
+    of = {r: [i for i, q in copies if q == r] for _, r in copies}
+    want = {tuple(sorted((x, y))) for a, b in links for x in of.get(a, [a]) for y in of.get(b, [b])}
+    want |= {(x, y) for ids in of.values() for x in ids for y in ids if x < y}
+    got = setjoin.expand_within(spark.createDataFrame(links, "id1 bigint, id2 bigint"), spark.createDataFrame(copies, "id bigint, rep bigint"))
+    assert rows(got) == sorted(want, key=repr)
+
+
+def test_banding_keeps_recall():
+    small, large = neardup.Banding(50_000, 0.6, 0.998), neardup.Banding(10**9, 0.6, 0.998)
+    assert small.rows == 4 and large.rows == 8 and large.values == neardup.VALUES and len(large.chosen) > len(small.chosen)
+    rnd = np.random.default_rng(1)
+    agree = rnd.random((400, large.values)) < 0.6
+    assert agree[:, large.chosen].all(axis=2).any(axis=1).mean() > 0.985
+
+
+def test_recall_below_one():
+    with pytest.raises(ValueError):
+        setjoin.Plan(0.75, 1000, 1.0)

@@ -141,8 +141,21 @@ def test_token_counts(spark):
     enc = tokens.encoder()
     text = "Hello world, this is a test.\nSecond line <|endoftext|>."
     assert tokens.token_count(enc, text) == len(enc.encode_ordinary(text)) and enc.decode(enc.encode_ordinary(text)) == text
-    long = "word " * 20_000
-    assert abs(tokens.token_count(enc, long) - 20_000) < 20 and tokens.token_count(enc, "#" * 50_000) > 0
+    for long in ("word " * 20_000, "#" * 50_000, "-" * 45_001, "a\n\n\n" * 15_000, "don't  stop\r\n 42\u00a0x " * 3000, " " * 30_000 + "x" * 30_000):
+        assert tokens.token_count(enc, long) == len(enc.encode_ordinary(long))
+
+
+def test_token_counts_across_cuts(monkeypatch):
+    enc, rnd = tokens.encoder(), np.random.default_rng(3)
+    monkeypatch.setattr(tokens, "_PIECE", 7)
+    bits = ["a", "B", "9", " ", " ", "\n", "\r", "\t", "'", "'s", "é", "語", "-", "--", "\u00a0", "\u2003", "\x1c", "\x85"]
+    for _ in range(2000):
+        text = "".join(rnd.choice(bits, rnd.integers(0, 60)))
+        assert tokens.token_count(enc, text) == len(enc.encode_ordinary(text)), repr(text)
+
+
+def test_prompt_tokens(spark):
+    text = "Hello world, this is a test.\nSecond line <|endoftext|>."
     df = spark.createDataFrame([(1, text, "s"), (2, None, "s"), (3, "", None), (4, "one line", "s")], "doc_id bigint, text string, source string")
     got = {r["doc_id"]: (r["n_tokens"], r["n_prompt"]) for r in tokens.with_token_counts(df).collect()}
     assert got[2] == got[3] == (0, 0) and got[4][1] == 0 and 0 < got[1][1] < got[1][0]
