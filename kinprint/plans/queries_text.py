@@ -9,6 +9,7 @@ from kinprint.functions import hashing
 from kinprint.functions.artifacts import FLAG_NAMES, STRUCT_PUNCT, with_artifacts
 from kinprint.functions.lexer import PLAIN_OPERATORS, family_regex
 from kinprint.operators import latest
+from kinprint.plans import sql_lexer as sql
 from kinprint.plans.registry import query
 from kinprint.session import spread
 from kinprint.sources.tables import table
@@ -127,22 +128,49 @@ def struct_counts(spark: SparkSession, folder: str) -> DataFrame:
     return _documents(spark, folder).select("doc_id", *[count(p).alias(f"n{i}") for i, p in enumerate(STRUCT_PUNCT)])
 
 
-@query("""
-with x as (select rid, any_value(struct_vec) v from features where k = 8 and schema_version = 3 group by rid)
-select rid, len(v) dims, list_sum(list_transform(v, lambda a: floor(exp(a) - 1 + 0.5)))::bigint total from x""")
-def struct_vec(spark: SparkSession, folder: str) -> DataFrame:
-    """Size and undamped total of the cached structure profiles."""
-    rows = latest.usable(table(spark, folder, "features"))
-    total = F.aggregate(F.transform("struct_vec", lambda a: F.floor(F.exp(a) - 1 + 0.5)), F.lit(0).cast("bigint"), lambda s, v: s + v)
-    return rows.select("rid", F.size("struct_vec").alias("dims"), total.alias("total"))
+# --- the scan's own lexer and artifacts, over the inline text of every submission ---
 
 
-@query("""
-with f as (select rid, any_value(tf) tf from features where k = 8 and schema_version = 3 group by rid)
-select rid, e.key term, e.value n from (select rid, unnest(map_entries(tf)) e from f)""")
+def _computed(spark: SparkSession, folder: str) -> DataFrame:
+    """All artifacts of every submission's inline text, each rid once."""
+    rows = latest.source_text(table(spark, folder, "submissions")).where((F.col("source") != "") & F.col("rid").isNotNull())
+    return with_artifacts(rows.groupBy("rid").agg(F.min("lang").alias("lang"), F.min("source").alias("source")), "source", "lang")
+
+
+@query(f"with {sql.TEXTS}, {sql.HASHED} select rid, code_hash, len(t) token_count, {_JOINED.format('b')} base, {_JOINED.format('lb')} lexical, len(hashes) n_hashes, {_JOINED.format('hashes')} hashes from made")
+def code_tokens(spark: SparkSession, folder: str) -> DataFrame:
+    """Token stream, lexical stream and fingerprint of every submission, in all families."""
+    return _computed(spark, folder).select("rid", "code_hash", "token_count", _joined(F.col("base_hashes")).alias("base"), _joined(F.col("lex_base_hashes")).alias("lexical"), F.size("hashes").alias("n_hashes"), _joined(F.col("hashes")).alias("hashes"))
+
+
+@query(f"with {sql.TEXTS}, {sql.TOKENS} select rid, x.v term, count(*) n from (select rid, unnest(t) x from toks) where x.k = 'w' group by all")
 def term_freq(spark: SparkSession, folder: str) -> DataFrame:
-    """Keyword counts of every counted features row."""
-    return latest.usable(table(spark, folder, "features")).select("rid", F.explode("tf").alias("term", "n"))
+    """Keyword counts of every submission."""
+    return _computed(spark, folder).select("rid", F.explode("tf").alias("term", "n")).withColumn("n", F.col("n").cast("bigint"))
+
+
+@query(f"with {sql.TEXTS}, {sql.TOKENS}, {sql.DEPTHS}, p as ({sql.PROFILE}) select rid, array_to_string(coalesce(counts, list_resize([]::bigint[], 37, 0)), ',') counts from texts left join p using (rid)")
+def struct_vec(spark: SparkSession, folder: str) -> DataFrame:
+    """The structure profile of every submission, undamped: words, punctuation, deepest nesting and openings by depth."""
+    counts = F.transform("struct_vec", lambda a: F.floor(F.exp(a) - 1 + 0.5).cast("string"))
+    return _computed(spark, folder).select("rid", F.array_join(counts, ",").alias("counts"))
+
+
+@query(f"""with {sql.TEXTS}, {sql.TOKENS}, c as (select rid, {sql.IDENTS} idents, {sql.COMMENT_LINES} lines, {sql.FLAGS} flags from toks)
+select rid, md5(array_to_string(idents, chr(10))) idents, len(lines) comment_count, array_to_string({sql.COMMENT_HASHES.format('lines')}, ',') comment_hashes, array_to_string(flags, ',') flags from c""")
+def code_evidence(spark: SparkSession, folder: str) -> DataFrame:
+    """Names, comment lines and flags of every submission."""
+    return _computed(spark, folder).select("rid", F.md5(F.array_join("idents", "\n")).alias("idents"), "comment_count", F.array_join(F.col("comment_hashes").cast("array<string>"), ",").alias("comment_hashes"), F.array_join("flags", ",").alias("flags"))
+
+
+@query(f"select (select count(*) from documents) + (select count(distinct rid) from submissions where coalesce(files_code, '') = '' and coalesce(code, '') <> '' and {sql._FAMILY} = 'plain') texts, 0 other")
+def plain_agreement(spark: SparkSession, folder: str) -> DataFrame:
+    """Texts of the plain family, and how many of them the scan's lexer and the Catalyst one read differently."""
+    subs = latest.source_text(table(spark, folder, "submissions")).where((F.col("source") != "") & F.col("rid").isNotNull() & (hashing.family(F.col("lang")) == "plain"))
+    rows = subs.groupBy("rid").agg(F.min("source").alias("text")).unionAll(table(spark, folder, "documents").select("doc_id", F.coalesce("text", F.lit(""))))
+    lexemes = hashing.plain_lexemes(F.col("text"))
+    both = with_artifacts(rows.select(hashing.code_hash(hashing.plain_tokens(lexemes)).alias("catalyst"), F.lit(None).cast("string").alias("lang"), "text"), "text", "lang")
+    return both.agg(F.count(F.lit(1)).alias("texts"), F.count_if(F.col("catalyst") != F.col("code_hash")).alias("other"))
 
 
 @query("""
