@@ -37,7 +37,7 @@ def source_text(submissions: DataFrame, blobs: DataFrame | None = None) -> DataF
     inline = F.coalesce("code", F.lit(""))
     if blobs is None:
         return submissions.withColumn("source", F.when(F.length("files_code") > 0, F.lit("")).otherwise(inline))
-    texts = blobs.where(F.col("id").isNotNull() & (F.length("content") <= 64 * 1024 * 1024)).groupBy("id").agg(F.first("content").alias("__content"))
+    texts = blobs.where(F.col("id").isNotNull() & (F.length("content") <= 64 * 1024 * 1024)).groupBy("id").agg(F.max("content").alias("__content"))
     joined = submissions.withColumn("__blob", blob_id(F.col("files_code"))).join(texts.withColumnRenamed("id", "__id"), F.col("__blob") == F.col("__id"), "left")
     text = F.col("__content").cast("string")
     return joined.withColumn("source", F.when(F.col("__blob").isNotNull(), F.coalesce(text, F.lit(""))).otherwise(inline)).drop("__blob", "__id", "__content")

@@ -6,6 +6,9 @@ import math
 import re
 from collections.abc import Mapping
 
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
 from kinprint.functions.metrics import Thresholds
 from kinprint.plans.scan import ScanConfig
 
@@ -55,11 +58,16 @@ def scan_config(values: Mapping) -> ScanConfig:
     )
 
 
-def resolve_user(text: str | None, by_id: Mapping, by_name: Mapping, by_mail: Mapping) -> int | None:
-    """A user's id from an id, a name or a mail address, in this order; None (no filter) if none is known."""
+def resolve_user(users: DataFrame, text: str | None) -> int | None:
+    """A user's id from an id, a name or a mail address, in this order; None (no filter) if none is known.
+
+    users: uid, name, mail.  Only the rows that match are read; of several users of one name the smallest id counts.
+    """
     key = (text or "").strip()
     if not key:
         return None
-    if re.fullmatch(r"\d+", key) and int(key) in by_id:
-        return int(key)
-    return by_name.get(key.lower(), by_mail.get(key.lower()))
+    by_id = F.col("uid") == int(key) if re.fullmatch(r"\d{1,18}", key) else F.lit(False)
+    tests = [by_id, F.lower("name") == key.lower(), F.lower("mail") == key.lower()]
+    place = F.coalesce(*[F.when(t, i) for i, t in enumerate(tests)])
+    found = users.where(place.isNotNull()).agg(F.min(F.struct(place.alias("place"), "uid")).alias("m")).first()["m"]
+    return found and found["uid"]

@@ -3,10 +3,15 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from kinprint.functions.artifacts import with_artifacts
+from kinprint.operators import latest
 from kinprint.plans import scan
+from kinprint.plans import sql_lexer as sql
 from kinprint.plans.registry import query
 from kinprint.session import Workspace
+from kinprint.sources import store
 from kinprint.sources.tables import table
 from kinprint.streaming import events
 
@@ -28,12 +33,48 @@ def report_stats(spark: SparkSession, folder: str) -> DataFrame:
 @query("""
 select time_bucket(interval 1 hour, ts) as start, event_type, count(*) n, cast(sum(cast(value as decimal(18,4))) as double) total from events where ts is not null group by all""")
 def stream_tumbling(spark: SparkSession, folder: str) -> DataFrame:
-    """Hourly counts of events by type, as a stream."""
-    return events.run_to_end(spark, events.tumbling_counts(events.read_events(spark, folder), late="3650 days"), "complete", "tumbling")
+    """Hourly counts of events by type, as a stream in update mode: windows two days behind the newest event leave the state."""
+    return events.run_to_end(spark, events.tumbling_counts(events.read_events(spark, folder)), "update", "tumbling")
 
 
 @query("""
 select user_id, event_type, ts, event_id, value from (select *, row_number() over (partition by user_id, event_type order by ts desc, event_id desc, value desc) i from events) where i = 1""")
 def stream_latest(spark: SparkSession, folder: str) -> DataFrame:
-    """The latest event of every user and type, as a stream."""
-    return events.run_to_end(spark, events.latest_events(events.read_events(spark, folder)), "complete", "latest")
+    """The latest event of every user and type, merged by key from a stream."""
+    work = Workspace(spark, "latest")
+    events.merge_latest(spark, events.read_events(spark, folder), f"{work.root}/out", f"{work.root}/state").awaitTermination()
+    return spark.read.parquet(f"{work.root}/out").drop("part")
+
+
+@query(f"with {sql.TEXTS}, {sql.HASHED} select rid, code_hash, len(t) token_count, 3 as schema_version from made")
+def stream_features(spark: SparkSession, folder: str) -> DataFrame:
+    """Features of all submissions, made incrementally from a stream of them."""
+    work = Workspace(spark, "features")
+    out = f"{work.root}/out"
+    events.incremental_features(spark, events.read_events(spark, folder, "submissions"), out, f"{work.root}/state").awaitTermination()
+    return spark.read.parquet(out).select("rid", "code_hash", "token_count", "schema_version")
+
+
+@query("""
+with gone as (select domain_id, min(tid) tid from pairs group by domain_id)
+select domain_id, tid, count(*) n, count(distinct (rid1, rid2)) n_pairs from pairs where (domain_id, tid) not in (select domain_id, tid from gone) group by all""")
+def pairs_stored(spark: SparkSession, folder: str) -> DataFrame:
+    """Pairs written by contest, written again, and the first contest of every domain replaced by none."""
+    root = f"{Workspace(spark, 'stored').root}/pairs"
+    rows = table(spark, folder, "pairs").select("domain_id", "tid", "rid1", "rid2", "level", "similarity")
+    every = rows.select("domain_id", "tid").distinct()
+    for _ in range(2):
+        store.replace_pairs(rows, root, every)
+    store.replace_pairs(rows.limit(0), root, every.groupBy("domain_id").agg(F.min("tid").alias("tid")))
+    return store.read_pairs(spark, root).groupBy("domain_id", "tid").agg(F.count(F.lit(1)).alias("n"), F.count_distinct(F.struct("rid1", "rid2")).alias("n_pairs"))
+
+
+@query(f"""with {sql.TEXTS}, {sql.HASHED}, old as (select rid, max(coalesce(schema_version, 0)) version from features where rid is not null group by rid)
+select coalesce(made.rid, old.rid) rid, case when made.rid is not null and 3 >= coalesce(version, 0) then 3 else version end schema_version, case when made.rid is not null and 3 >= coalesce(version, 0) then code_hash end code_hash
+from made full join old on old.rid = made.rid""")
+def features_upserted(spark: SparkSession, folder: str) -> DataFrame:
+    """Features made anew put in place of cached ones, where these are not of a higher version: one row a rid."""
+    source = latest.source_text(table(spark, folder, "submissions")).where((F.col("source") != "") & F.col("rid").isNotNull())
+    made = with_artifacts(source.groupBy("rid").agg(F.min("lang").alias("lang"), F.min("source").alias("source")), "source", "lang").withColumn("new_hash", F.col("code_hash"))
+    out = store.upsert_features(table(spark, folder, "features"), made)
+    return out.select("rid", F.coalesce("schema_version", F.lit(0)).alias("schema_version"), F.col("new_hash").alias("code_hash"))

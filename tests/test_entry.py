@@ -49,17 +49,41 @@ def test_streams(spark, tmp_path):
     folder = str(tmp_path)
     schema = spark.read.parquet(folder + "/events.parquet").schema
     stream = lambda: spark.readStream.schema(schema).parquet(folder + "/events.parquet")
-    counts = rows(events.run_to_end(spark, events.tumbling_counts(stream()), "complete", "t1"))
+    counts = rows(events.run_to_end(spark, events.tumbling_counts(stream()), "update", "t1"))
     assert [(c[1], c[2], c[3]) for c in counts] == [("a", 2, 3.0), ("b", 1, 4.0)]
-    last = events.run_to_end(spark, events.latest_events(stream()), "complete", "t2")
-    assert rows(last.select("user_id", "event_type", "event_id")) == [(1, "a", 2), (1, "b", 3), (2, "b", 4)]
+    out = str(tmp_path / "latest")
+    events.merge_latest(spark, stream(), out, str(tmp_path / "cp"), 4).awaitTermination()
+    assert rows(spark.read.parquet(out).select("user_id", "event_type", "event_id")) == [(1, "a", 2), (1, "b", 3), (2, "b", 4)]
+
+
+def test_latest_events_over_batches(spark, tmp_path):
+    ddl = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double"
+    src, out = str(tmp_path / "in"), str(tmp_path / "out")
+    batches = [[(1, "2024-01-02", 1, "a", 1.0), (2, "2024-01-03", 2, "a", None)], [(3, "2024-01-01", 1, "a", 5.0), (4, "2024-01-05", None, "a", 5.0)], [(5, "2024-01-04", 2, "a", 2.0), (6, None, 3, "b", 1.0)]]
+    for batch in batches:
+        spark.createDataFrame(batch, ddl.replace("timestamp_ntz", "string")).withColumn("ts", F.col("ts").cast("timestamp_ntz")).write.mode("append").parquet(src)
+        events.merge_latest(spark, spark.readStream.schema(ddl).parquet(src), out, str(tmp_path / "cp"), 2).awaitTermination()
+    assert rows(spark.read.parquet(out).select("user_id", "event_type", "event_id")) == sorted([(1, "a", 1), (2, "a", 5), (3, "b", 6), (None, "a", 4)], key=repr)
 
 
 def test_incremental_features(spark, tmp_path):
-    ddl = "rid bigint, domain_id string, lang string, code string"
+    ddl = "rid bigint, domain_id string, lang string, code string, files_code string"
     src, out = str(tmp_path / "in"), str(tmp_path / "out")
-    for batch in ([(1, "d", "c", "int a;"), (1, "d", "c", "int a;")], [(1, "d", "c", "int a;"), (2, "d", None, None)]):
+    blobs = spark.createDataFrame([("b1", bytearray(b"int a, b;"))], "id string, content binary")
+    first = [(1, "d", "c", "int a;", None), (1, "d", "c", "int a;", None), (5, "d", "c", "int a;", "gone#x")]
+    for batch in (first, [(1, "d", "c", "int a;", None), (2, "d", None, None, None), (3, "d", "c", "int z;", "b1#main"), (4, "d", "c", "x", "")]):
         spark.createDataFrame(batch, ddl).write.mode("append").parquet(src)
-        stream = spark.readStream.schema(ddl).parquet(src)
-        events.incremental_features(spark, stream, out, str(tmp_path / "cp")).awaitTermination()
-    assert rows(spark.read.parquet(out).select("rid", "token_count")) == [(1, 3), (2, 0)]
+        events.incremental_features(spark, spark.readStream.schema(ddl).parquet(src), out, str(tmp_path / "cp"), blobs=blobs).awaitTermination()
+    assert rows(spark.read.parquet(out).select("rid", "token_count")) == [(1, 3), (3, 5), (4, 1)]
+
+
+def test_stale_features_are_made_anew(spark, tmp_path):
+    from kinprint.functions.artifacts import with_artifacts
+
+    ddl = "rid bigint, domain_id string, lang string, code string, files_code string"
+    src, out = str(tmp_path / "in"), str(tmp_path / "out")
+    made = with_artifacts(spark.createDataFrame([(1, "d", "c", "int a;"), (2, "d", "c", "int a;")], "rid bigint, domain_id string, lang string, code string"))
+    made.withColumn("schema_version", F.when(F.col("rid") == 1, 2).otherwise(3)).write.parquet(out)
+    spark.createDataFrame([(1, "d", "c", "int a, b;", None), (2, "d", "c", "int a, b;", None)], ddl).write.parquet(src)
+    events.incremental_features(spark, spark.readStream.schema(ddl).parquet(src), out, str(tmp_path / "cp")).awaitTermination()
+    assert rows(spark.read.parquet(out).select("rid", "schema_version", "token_count")) == [(1, 2, 3), (1, 3, 5), (2, 3, 3)]

@@ -101,4 +101,9 @@ def test_config():
     assert config.excluded_pids("3, 1;2，x 0 3") == (1, 2, 3) and config.excluded_pids(None) == ()
     c = config.scan_config({"k": 1, "max_code_size": "10", "min_tokens": -3, "mode": "all"})
     assert (c.k, c.max_code_size, c.min_tokens, c.mode) == (2, 1024, 0, "all") and config.scan_config({}).k == 8
-    assert config.resolve_user("7", {7: "x"}, {}, {}) == 7 and config.resolve_user("Ann", {}, {"ann": 3}, {}) == 3 and config.resolve_user("b@c", {}, {}, {}) is None
+
+
+def test_users(spark):
+    users = spark.createDataFrame([(7, "Ann", "a@b"), (3, "ann", None), (9, "7", "x@y"), (None, "nobody", None)], "uid bigint, name string, mail string")
+    find = lambda text: config.resolve_user(users, text)
+    assert (find("7"), find(" ANN "), find("X@y"), find("b@c"), find("nobody"), find(""), find(None), find("9" * 30)) == (7, 3, 9, None, None, None, None, None)

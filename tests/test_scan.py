@@ -139,8 +139,29 @@ def test_reports(spark, work, tmp_path):
     store.replace_pairs(pairs.where("tid = 'u'"), root, pairs.select("domain_id", "tid"))
     assert [r["tid"] for r in store.read_pairs(spark, root).select("tid").distinct().collect()] == ["u"]
     assert store.drop_partition(spark, root, "d") and not store.drop_partition(spark, root, "d")
-    old, new = spark.createDataFrame([(1, "a"), (2, "b")], "rid bigint, x string"), spark.createDataFrame([(2, "c"), (3, "d")], "rid bigint, x string")
-    assert rows(store.upsert_features(old, new)) == [(1, "a"), (2, "c"), (3, "d")] and store.upsert_features(None, new).count() == 2
+
+
+def test_upsert_keeps_the_highest_version(spark):
+    ddl = "rid bigint, schema_version int, x string, tf map<string,int>"
+    old = spark.createDataFrame([(1, 3, "a", None), (2, 4, "b", {"if": 1}), (3, None, "c", None), (4, 3, "d", None), (4, 2, "e", None), (None, 3, "z", None)], ddl)
+    new = spark.createDataFrame([(2, 3, "n", None), (3, 1, "n", None), (4, 3, "n", {"for": 2}), (5, 2, "low", None), (5, 3, "high", None), (None, 9, "z", None)], ddl)
+    out = store.upsert_features(old, new)
+    assert out.columns == ["rid", "schema_version", "x", "tf"]
+    assert rows(out.select("rid", "schema_version", "x")) == [(1, 3, "a"), (2, 4, "b"), (3, 1, "n"), (4, 3, "n"), (5, 3, "high")]
+    assert rows(store.upsert_features(None, new).select("rid", "x")) == [(2, "n"), (3, "n"), (4, "n"), (5, "high")]
+
+
+def test_partitions_of_odd_names(spark, tmp_path):
+    root = str(tmp_path / "odd")
+    keys = [("d=1/x", "a b:c"), ("d=1/x", None), (None, "t"), ("e", "50%")]
+    pairs = spark.createDataFrame([(*k, 1, 2, 1, 0.5) for k in keys], "domain_id string, tid string, rid1 bigint, rid2 bigint, level int, similarity double")
+    every = pairs.select("domain_id", "tid")
+    store.replace_pairs(pairs, root, every)
+    assert store.read_pairs(spark, root).count() == 4
+    store.replace_pairs(pairs.where("tid = 't'"), root, every.where("tid is null or tid <> '50%'"))
+    assert rows(store.read_pairs(spark, root).select("domain_id", "tid")) == [("e", "50%"), (None, "t")]
+    assert store.drop_contest(spark, [root, str(tmp_path / "none")], None, "t") == [True, False]
+    assert store.drop_domain(spark, [root], "e") == [True] and store.drop_domain(spark, [root], "e") == [False]
 
 
 def test_diffs(spark):
