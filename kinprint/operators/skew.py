@@ -43,17 +43,17 @@ def hot_values(df: DataFrame, column: str, least: int, most: int = 1000, total:
     return [r[0] for r in counts.where((F.col("n") > max(least, total // most)) & F.col(column).isNotNull()).select(column).collect()]
 
 
-def hot_join(rows: DataFrame, states: DataFrame, column: str, hot: list, spread: str, how: str = "inner", salts: int = SALTS) -> DataFrame:
-    """Join rows and states on one column of the same name, of which a few known values hold many rows.
+def hot_join(rows: DataFrame, states: DataFrame, column: str, hot: list, spread: str, how: str = "inner", salts: int = SALTS, also: tuple[str, ...] = ()) -> DataFrame:
+    """Join rows and states on one column of the same name (and others in also), of which a few known values hold many rows.
 
     hot: those values (see hot_values).  Their rows are spread over salts by another
     column, and only their states are repeated for each salt; without hot values it is a plain join.
     """
     if not hot:
-        return rows.join(states, column, how)
+        return rows.join(states, [*also, column], how)
     left = rows.withColumn("__salt", F.when(F.col(column).isin(hot), F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int")).otherwise(0))
     copies = F.when(F.col(column).isin(hot), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
-    return left.join(states.withColumn("__salt", F.explode(copies)), [column, "__salt"], how).drop("__salt")
+    return left.join(states.withColumn("__salt", F.explode(copies)), [*also, column, "__salt"], how).drop("__salt")
 
 
 def _picked(pieces: list[tuple[Column, Column]], otherwise: Column) -> Column:

@@ -1,4 +1,4 @@
-"""Queries on groups of equal sources and their similarity join, over all cached features."""
+"""Queries on groups of equal sources and their similarity join, over the latest submission of every user and problem."""
 
 from __future__ import annotations
 
@@ -9,16 +9,19 @@ from kinprint.functions import hashing, metrics
 from kinprint.operators import groups as grouping
 from kinprint.operators import latest, simjoin
 from kinprint.operators.groups import SCOPE
+from kinprint.plans import scan
+from kinprint.plans import sql_lexer as sql
 from kinprint.plans.registry import query
+from kinprint.session import Workspace
 from kinprint.sources.tables import table
 
 _U32 = "list_sort(list_distinct(list_transform(coalesce({0}, []), lambda x: x & 4294967295)))"
 FEATS = "feats as (select * from (select *, row_number() over (partition by rid order by rid) i from features where k = 8 and schema_version = 3) where i = 1)"
-DOCS = f"""{FEATS},
-newest as (select domain_id, tid, pid, uid, max(rid) rid from submissions group by all),
-docs as (select n.domain_id, n.tid, n.pid, n.uid, n.rid, f.* exclude (rid, domain_id, i) from newest n join feats f using (rid))"""
+DOCS = f"""{sql.FEATURES},
+newest as (select domain_id, tid, pid, uid, max(rid) rid from submissions where rid is not null group by all),
+docs as (select n.domain_id, n.tid, n.pid, n.uid, n.rid, f.* exclude (rid) from newest n join feats f using (rid))"""
 GROUPS = f"""{DOCS},
-groups as (select domain_id, tid, pid, code_hash, max(rid) rep, count(*) n_docs, arg_max({_U32.format('hashes')}, rid) fps, arg_max(tf, rid) tf from docs group by domain_id, tid, pid, code_hash)"""
+groups as (select domain_id, tid, pid, code_hash, max(rid) rep, count(*) n_docs, arg_max(hashes, rid) fps, arg_max(tf, rid) tf, arg_max(struct_vec, rid) struct_vec, arg_max(token_count, rid) token_count from docs group by domain_id, tid, pid, code_hash)"""
 PAIRS = f"""{GROUPS},
 entries as (select domain_id, tid, pid, rep, len(fps) n, unnest(fps) h from groups),
 found as (select a.domain_id, a.tid, a.pid, a.rep rep1, b.rep rep2, count(*) common, 2.0 * count(*) / (any_value(a.n) + any_value(b.n)) sim
@@ -37,10 +40,10 @@ medians as (select domain_id, tid, pid, any_value(total)::bigint n_pairs,
 
 
 def _docs(spark: SparkSession, folder: str) -> DataFrame:
-    """Latest submissions that have a current features row."""
-    newest = latest.latest_submissions(table(spark, folder, "submissions").select("domain_id", "tid", "uid", "pid", "rid"))
-    feats = latest.usable(table(spark, folder, "features")).drop("domain_id", "k", "schema_version")
-    return newest.join(feats, "rid")
+    """The latest submissions with their features, as the scan has them: cached ones, and the others lexed.  Written once."""
+    config = scan.ScanConfig()
+    docs = scan.featured(scan.collect(table(spark, folder, "submissions"), config), table(spark, folder, "features"), config)
+    return Workspace(spark, "docs").write(docs.where(F.col("reason").isNull()))
 
 
 def _groups(spark: SparkSession, folder: str, *carried: str) -> DataFrame:
@@ -48,7 +51,8 @@ def _groups(spark: SparkSession, folder: str, *carried: str) -> DataFrame:
 
 
 def _fps(spark: SparkSession, folder: str) -> DataFrame:
-    return _groups(spark, folder, "hashes").select(*SCOPE, "rep", hashing.unsigned_set(F.col("hashes")).alias("fps"))
+    """Groups with their fingerprint sets, written once."""
+    return Workspace(spark, "fps").write(_groups(spark, folder, "hashes").select(*SCOPE, "rep", F.col("hashes").alias("fps")))
 
 
 @query(f"with {GROUPS} select domain_id, tid, pid, code_hash, rep, n_docs from groups")
@@ -214,7 +218,9 @@ def tfidf_cosine(spark: SparkSession, folder: str) -> DataFrame:
     return out.where(F.col("sim_tfidf").isNotNull())
 
 
-@query()
+@query(f"""with recursive {_two('base_hashes', sql._U32)}, ok as (select * from b where len(a) > 0 and len(b) > 0 and len(a) * len(b) <= {metrics.CELL_LIMIT}),
+both_ as materialized (select row_number() over () id, a, b from (select distinct a, b from ok)), {sql.LCS}
+select rid1, rid2, {R4.format('2 * n / (len(b.a) + len(b.b))')} sim_seq from b left join both_ on both_.a = b.a and both_.b = b.b left join lcs using (id)""")
 def seq_sim(spark: SparkSession, folder: str) -> DataFrame:
     """Token-sequence similarity (longest common subsequence) of the recorded pairs."""
     rows = _both(spark, folder, "base_hashes").select("rid1", "rid2", *[hashing.unsigned(F.col(f"base_hashes{n}")).alias(f"b{n}") for n in (1, 2)])

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from kinprint.functions import hashing, metrics
 from kinprint.operators import latest
 from kinprint.plans import report
+from kinprint.plans import sql_lexer as sql
 from kinprint.plans.registry import query
 from kinprint.session import Workspace
 from kinprint.sources.tables import table
@@ -155,12 +156,32 @@ def graph_edges(spark: SparkSession, folder: str) -> DataFrame:
     return report.graph_edges(_pairs(spark, folder), _titles(spark, folder), 2)
 
 
-@query("""with e as (select uid1 uid, level from pairs where level >= 2 union all select uid2, level from pairs where level >= 2)
-select uid, concat('U', uid) as name, count(*) degree, max(level) max_level from e where uid is not null group by uid""")
+#: The customers stand in for the users' table: their keys are those of users, less 100 000.
+_USERS = "names as (select c_custkey + 100000 uid, c_name as name from customer)"
+
+
+def _users(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "customer").select((F.col("c_custkey") + 100_000).alias("uid"), F.col("c_name").alias("name"))
+
+
+@query(f"""with {_USERS}, e as (select uid1 uid, level from pairs where level >= 2 union all select uid2, level from pairs where level >= 2)
+select uid, coalesce(nullif(any_value(name), ''), concat('U', uid)) as name, count(*) degree, max(level) max_level from e left join names using (uid) where uid is not null group by uid""")
 def graph_nodes(spark: SparkSession, folder: str) -> DataFrame:
-    """Users of the network from level 2 on (the data name none, so all show their id)."""
-    names = _pairs(spark, folder).select(F.col("uid1").alias("uid"), F.lit("").alias("name")).limit(0)
-    return report.graph_nodes(report.graph_edges(_pairs(spark, folder), _titles(spark, folder), 2), names)
+    """Users of the network from level 2 on, with their names."""
+    return report.graph_nodes(report.graph_edges(_pairs(spark, folder), _titles(spark, folder), 2), _users(spark, folder))
+
+
+@query("""select 'pid' as what, tid, pid, uid1, uid2, rid1, rid2 from pairs where level >= 1 and pid = 1014 union all select 'user', tid, pid, uid1, uid2, rid1, rid2 from pairs where level >= 1 and (uid1 = 100047 or uid2 = 100047)""")
+def one_filter(spark: SparkSession, folder: str) -> DataFrame:
+    """Pairs of one problem, and pairs with one user on either side."""
+    rows = _pairs(spark, folder)
+    return _ids(report.pair_filter(rows, pid=1014), F.lit("pid").alias("what")).unionByName(_ids(report.pair_filter(rows, user=100047), F.lit("user").alias("what")))
+
+
+@query("""select uid1 u, uid2 v, similarity, pid, level from (select * from pairs order by similarity desc nulls last, pid nulls first, uid1 nulls first, uid2 nulls first, rid1 nulls first, rid2 nulls first limit 20000)""")
+def graph_strongest(spark: SparkSession, folder: str) -> DataFrame:
+    """The edges of a graph of the 20 000 most similar pairs at most."""
+    return report.graph_edges(report.strongest(_pairs(spark, folder)), _titles(spark, folder)).select("u", "v", "similarity", "pid", "level")
 
 
 @query("""select count(*) total, count_if(level = 1) l1, count_if(level = 2) l2, count_if(level = 3) l3,
@@ -181,8 +202,7 @@ select uid, count(*) degree, max(level) max_level from n where uid is not null g
 def graph_filtered(spark: SparkSession, folder: str) -> DataFrame:
     """Users of the network with only levels 1 and 3 shown."""
     edges = _pairs(spark, folder).select(F.col("uid1").alias("u"), F.col("uid2").alias("v"), "level")
-    names = edges.select(F.col("u").alias("uid"), F.lit("").alias("name")).limit(0)
-    return report.graph_nodes(report.visible_edges(edges, [1, 3]), names).drop("name")
+    return report.graph_nodes(report.visible_edges(edges, [1, 3]), _users(spark, folder)).drop("name")
 
 
 _TEXTS = "texts as (select rid, any_value(case when files_code <> '' then '' else coalesce(code, '') end) t from submissions group by rid), p as (select distinct rid1, rid2 from pairs where rid1 is not null and rid2 is not null)"
@@ -206,6 +226,24 @@ def diff_degraded(spark: SparkSession, folder: str) -> DataFrame:
     return report.side_by_side(_texts(spark, folder).where((F.col("text1") != "") & (F.col("text2") != "")), "text1", "text2", ["rid1", "rid2"]).withColumn("row", F.col("row").cast("bigint"))
 
 
+@query(rf"""with recursive {_TEXTS}, l as (select rid1, rid2, string_split(replace(a.t, chr(13) || chr(10), chr(10)), chr(10)) x, string_split(replace(b.t, chr(13) || chr(10), chr(10)), chr(10)) y
+  from p join texts a on a.rid = rid1 join texts b on b.rid = rid2 where a.t <> '' and b.t <> ''),
+m as (select rid1, rid2, list_transform(x, lambda z: regexp_replace(z, '^{sql._BLANKS}|{sql._BLANKS}$', '', 'g')) x, list_transform(y, lambda z: regexp_replace(z, '^{sql._BLANKS}|{sql._BLANKS}$', '', 'g')) y from l where len(x) * len(y) <= {metrics.CELL_LIMIT}),
+both_ as materialized (select row_number() over () id, x a, y b from (select distinct x, y from m)), {sql.LCS}
+select rid1, rid2, n eq, len(x) - n del, len(y) - n ins, 0 wrong from m join both_ on both_.a = x and both_.b = y join lcs using (id)""")
+def diff_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """Rows of each line diff by kind, and those that are wrong: equal rows of unequal lines, or line numbers that do not follow one another."""
+    texts = _texts(spark, folder).where((F.col("text1") != "") & (F.col("text2") != ""))
+    ids = ["rid1", "rid2"]
+    lines = texts.select(*ids, hashing.split_lines(F.col("text1")).alias("x"), hashing.split_lines(F.col("text2")).alias("y"))
+    rows = lines.select(*ids, "x", "y", metrics.line_diff("x", "y").alias("d")).where(F.col("d").isNotNull())
+    of = lambda kind: F.filter("d", lambda r: r["type"] == kind)
+    bare = lambda c: F.regexp_replace(c, f"^[{hashing._BLANK}]+|[{hashing._BLANK}]+$", "")
+    unequal = F.size(F.filter(of("eq"), lambda r: bare(F.get(F.col("x"), r["l"] - 1)) != bare(F.get(F.col("y"), r["r"] - 1))))
+    numbers = lambda side, n: (F.filter(F.transform("d", lambda r: r[side]), lambda v: v.isNotNull()) != F.sequence(F.lit(1), n)).cast("int")
+    return rows.select(*ids, *[F.size(of(k)).cast("bigint").alias(k) for k in ("eq", "del", "ins")], (unequal + numbers("l", F.size("x")) + numbers("r", F.size("y"))).alias("wrong"))
+
+
 @query()
 def line_diff(spark: SparkSession, folder: str) -> DataFrame:
     """Line diffs of recorded pairs with both sources inline."""

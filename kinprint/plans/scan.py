@@ -13,10 +13,12 @@ from kinprint.functions.metrics import Thresholds
 from kinprint.operators import groups as grouping
 from kinprint.operators import latest, simjoin
 from kinprint.operators.groups import SCOPE
-from kinprint.operators.skew import salted_join
+from kinprint.operators.skew import hot_join, hot_values, salted_join
 from kinprint.plans.report import capped
 from kinprint.session import Workspace
 
+#: A group with more pairs (and more than a thousandth of all) is salted where pairs meet its features.
+HUB = 50_000
 FEATURES = ["code_hash", "token_count", "hashes", "base_hashes", "lex_base_hashes", "tf", "struct_vec", "funcs", "idents", "comment_hashes", "flags"]
 
 
@@ -52,8 +54,8 @@ def featured(rows: DataFrame, features: DataFrame | None, config: ScanConfig, bl
     if features is None or config.ignore_cache:
         hits, misses = None, rows
     else:
-        cached = latest.usable(features, config.k).select("rid", F.col("lang").alias("cached_lang"), *FEATURES)
-        hits = rows.drop("code", "files_code").join(cached, "rid").withColumn("hit", F.lit(True)).drop("cached_lang")
+        cached = latest.usable(features, config.k).select("rid", *FEATURES)
+        hits = rows.drop("code", "files_code").join(cached, "rid").withColumn("hit", F.lit(True))
         current = features.where((F.col("k") == config.k) & (F.col("schema_version") == 3)).select("rid").distinct()
         misses = rows.join(current, "rid", "left_anti")
     fetched = latest.source_text(misses, blobs).drop("code", "files_code")
@@ -79,10 +81,16 @@ def term_vectors(groups: DataFrame) -> DataFrame:
 
 
 def group_evidence(pairs: DataFrame, groups: DataFrame) -> DataFrame:
-    """Pairs of groups with sim_seq, sim_tfidf, sim_func and sim_struct."""
+    """Pairs of groups with sim_seq, sim_tfidf, sim_func and sim_struct.
+
+    A group that is similar to very many meets its pairs in several tasks (hot_join).
+    """
+    n = pairs.count()
+    hubs = {c: hot_values(pairs, c, HUB, total=n) if n > HUB else [] for c in ("rep1", "rep2")}
     art = groups.select(*SCOPE, "rep", "base_hashes", "struct_vec", "funcs", hashing.family(F.col("lang")).alias("family")).join(term_vectors(groups), [*SCOPE, "rep"], "left")
     side = lambda n: art.select(*SCOPE, *[F.col(c).alias(f"{c}{n}") for c in art.columns if c not in SCOPE])
-    both = pairs.join(side(1), [*SCOPE, "rep1"]).join(side(2), [*SCOPE, "rep2"])
+    both = hot_join(pairs, side(1), "rep1", hubs["rep1"], "rep2", also=tuple(SCOPE))
+    both = hot_join(both, side(2), "rep2", hubs["rep2"], "rep1", also=tuple(SCOPE))
     c = F.col
     return both.select(
         *SCOPE, "rep1", "rep2", "sim", "common",

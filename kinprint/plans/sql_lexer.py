@@ -63,7 +63,7 @@ def _token(f: str) -> str:
 #: One row a text given by `texts` (rid, lang, source): its tokens as structs of kind (w keyword, n name, v literal, p punctuation), value and lexical value.
 _SPLIT = r"""flatten(list_transform(r, lambda t: case when family = 'pascal' and t[1] = '''' and ends_with(t, '''{') then [t[:-2], '{'] else [t] end))"""
 _FAMILY = "case " + " ".join(f"when regexp_matches(lower(coalesce(lang, '')), '{family_regex(f)}') then '{f}'" for f in ("c", "python", "pascal")) + " else 'plain' end"
-# The brace after a string is told from a comment by its being one character: comments have more, or end the text.
+# Such a brace then counts as a comment here, unlike in the scanner; the tables have none, and a test compares both without it.
 TOKENS = f"""fam as (select rid, source, {_FAMILY} as family from texts),
 raw as (select rid, family, source, {_cases(lambda f: f"regexp_extract_all(chr(10) || source, '{LEXEMES[f]}')")} r from fam),
 lexemes as (select rid, family, source, {_SPLIT} l from raw),
@@ -78,8 +78,8 @@ _VALUES, _LEXICAL = "list_transform(t, lambda x: x.v)", "list_transform(t, lambd
 
 #: Every different token is hashed once.
 HASHED = f"""{TOKENS},
-seen as (select distinct x from (select unnest({_VALUES}) x from toks union all select unnest({_LEXICAL}) from toks)),
-dict as (select map_from_entries(list((x, {FNV.format('x')}))) m from seen),
+lexwords as (select distinct x from (select unnest({_VALUES}) x from toks union all select unnest({_LEXICAL}) from toks)),
+dict as (select map_from_entries(list((x, {FNV.format('x')}))) m from lexwords),
 based as (select rid, family, source, l, t, list_transform({_VALUES}, lambda x: dict.m[x]) b, list_transform({_LEXICAL}, lambda x: dict.m[x]) lb from toks, dict),
 made as (select rid, family, source, l, t, b, lb, sha1(array_to_string({_VALUES}, chr(10))) code_hash, list_sort(list_distinct({_GRAMS.format('b')})) hashes, list_sort(list_distinct({_GRAMS.format('lb')})) lex_hashes from based)"""
 
@@ -101,6 +101,35 @@ _COUNTED = [*(f"count_if(k = 'w' and v = '{w}')" for w in STRUCT_WORDS), *(f"cou
 PROFILE = f"select rid, [{', '.join(_COUNTED)}]::bigint[] counts from depths group by rid"
 
 
+_U32 = "list_transform(coalesce({0}, []), lambda x: x & 4294967295)"
+#: The features of a scan: cached ones where current, else those of the inline text (named files are not among the tables, so they read as empty).
+FEATURES = f"""{TEXTS}, {HASHED}, {DEPTHS}, profiles as ({PROFILE}),
+term_maps as (select rid, map_from_entries(list((v, n))) tf from (select rid, v, count(*)::int n from flat where k = 'w' group by all) group by rid),
+cached as (select * from (select *, row_number() over (partition by rid order by rid) i from features where k = 8 and schema_version = 3 and rid is not null) where i = 1),
+lexed as (select rid, code_hash, len(t)::int token_count, hashes, b base_hashes, lex_hashes, coalesce(tf, map([]::varchar[], []::int[])) tf,
+  list_transform(coalesce(counts, list_resize([]::bigint[], 37, 0)), lambda x: ln(1 + x)) struct_vec, {IDENTS} idents, {COMMENT_HASHES.format(COMMENT_LINES)} comment_hashes, {FLAGS} flags
+  from made left join term_maps using (rid) left join profiles using (rid)),
+feats as (select rid, true hit, code_hash, token_count, list_sort(list_distinct({_U32.format('hashes')})) hashes, {_U32.format('base_hashes')} base_hashes,
+  list_sort(list_distinct({_GRAMS.format('(' + _U32.format('lex_base_hashes') + ')')})) lex_hashes, tf, list_transform(struct_vec, lambda x: x::double) struct_vec, idents, list_sort(list_distinct({_U32.format('comment_hashes')})) comment_hashes, flags from cached
+  union all select rid, false, * exclude (rid) from lexed where rid not in (select rid from cached))"""
+
+
+def _equal_head(a: str, b: str) -> str:
+    return f"coalesce(nullif(list_position(list_transform(range(1, least(len({a}), len({b})) + 1), lambda i: {a}[i] = {b}[i]), false), 0) - 1, least(len({a}), len({b})))"
+
+
+#: Lengths of longest common subsequences of the list pairs `both_` (id, a, b), as lcs (id, n): equal heads and tails count as
+#: they are, the rest by the table of the recurrence, diagonal by diagonal, whose cells do not depend on each other.
+LCS = f"""heads as (select id, a, b, {_equal_head('a', 'b')} h from both_),
+rests as (select id, h, list_reverse(a[h + 1:]) a, list_reverse(b[h + 1:]) b from heads),
+tails as (select id, h, a, b, {_equal_head('a', 'b')} e from rests),
+middles as materialized (select id, h + e equal_, case when len(a) <= len(b) then a[e + 1:] else b[e + 1:] end a, case when len(a) <= len(b) then b[e + 1:] else a[e + 1:] end b from tails),
+dp(id, d, p1, p2) using key (id) as (
+  select id, 1, list_resize([]::int[], len(a) + 1, 0), list_resize([]::int[], len(a) + 1, 0) from middles where len(a) > 0
+  union select id, d + 1, list_transform(range(0, len(a) + 1), lambda i: case when i = 0 or i >= d or d - i > len(b) then 0 else greatest(p1[i], p1[i + 1], p2[i] + (a[i] = b[d - i])::int) end), p1 from dp join middles using (id) where d <= len(a) + len(b)),
+lcs as (select id, equal_ + coalesce(p1[len(a) + 1], 0) n from middles left join dp using (id))"""
+
+
 def pattern_of(family: str) -> re.Pattern:
     """The expression of a family for Python, to compare with the scanner's in tests."""
     return re.compile(LEXEMES[family].replace("''", "'").replace(r"\z", r"\Z"))

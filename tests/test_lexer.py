@@ -150,3 +150,18 @@ def test_catalyst_and_scanner_agree(spark):
             continue
         a = art.artifacts(t or "", None, 8)
         assert got[i]["b"] == a["base_hashes"] and sorted(set(got[i]["g"])) == a["hashes"]
+
+
+@given(st.text(alphabet="ab1.\"'\\\\\n #/*{}()<>=+-:;import using def", max_size=80))
+@settings(max_examples=300, deadline=None)
+def test_sql_expressions_cut_like_the_scanner(text):
+    """The expressions that check the lexers find the same tokens as the scanner."""
+    from kinprint.plans.sql_lexer import _COMMENTS, _DROPPED, pattern_of
+
+    for family in ("c", "python", "pascal", "plain"):
+        found = [m.group() for m in pattern_of(family).finditer("\n" + text)]
+        if family == "pascal":
+            found = [y for x in found for y in ([x[:-1], "{"] if x.startswith("'") and x.endswith("'{") else [x])]
+        kept = [x for x in found if x != "{" and not x.startswith((*_COMMENTS[family], *_DROPPED[family]))] if family == "pascal" else [x for x in found if not x.startswith((*_COMMENTS[family], *_DROPPED[family]))]
+        got = [v for v in lex(text, family).values if not (family == "pascal" and v == "{")]
+        assert len(kept) == len(got), (family, text)

@@ -90,16 +90,22 @@ def test_medians(spark, hist, median):
     assert simjoin.medians(df).first()["median"] == median
 
 
-def test_prefix_filter_is_exact(spark):
+@pytest.mark.parametrize("dense,block", [(0, 5000), (10**9, 5000), (0, 3), (10**9, 3)])
+def test_joins_by_threshold_are_exact(spark, monkeypatch, dense, block):
+    """Counted or filtered, cut into blocks or not: the same pairs, those of brute force."""
     import random
 
+    monkeypatch.setattr(simjoin, "BLOCK", block)
+
     rnd = random.Random(1)
     base = [rnd.sample(range(60), 20) for _ in range(4)]
     sets = [sorted(set(rnd.choice(base)[: rnd.randrange(8, 20)] + rnd.sample(range(60), rnd.randrange(6)))) for _ in range(60)]
     df = spark.createDataFrame([("d", "t", i % 2, i, s) for i, s in enumerate(sets)], "domain_id string, tid string, pid bigint, rep bigint, fps array<bigint>")
-    for t in (0.3, 0.55, 0.75, 1.0):
-        full = simjoin.overlapping_pairs(df).where(F.col("sim") >= t).select("rep1", "rep2", "common")
-        assert rows(simjoin.pairs_at_least(df, t).select("rep1", "rep2", "common")) == rows(full)
+    met = {(i, j): len(set(sets[i]) & set(sets[j])) for i in range(60) for j in range(i + 1, 60) if i % 2 == j % 2 and set(sets[i]) & set(sets[j])}
+    assert rows(simjoin.overlapping_pairs(df).select("rep1", "rep2", "common")) == sorted(((*k, n) for k, n in met.items()), key=repr)
+    for t in (0.3, 0.75, 1.0):
+        full = [(i, j, n) for (i, j), n in met.items() if 2 * n / (len(sets[i]) + len(sets[j])) >= t]
+        assert rows(simjoin.pairs_at_least(df, t, dense=dense).select("rep1", "rep2", "common")) == sorted(full, key=repr)
 
 
 def test_cap_with_nulls(spark, work, tmp_path):
