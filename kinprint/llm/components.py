@@ -14,8 +14,8 @@ from kinprint.session import Workspace
 
 #: A vertex with more links than this (and more than a thousandth of all) is salted in joins.
 HOT = 50_000
-#: Parents of at most so many rows may be broadcast (about 1 MB); larger tables meet by sort and merge.
-SMALL = 50_000
+#: Tables of at most so many rows may be broadcast (below 1 MB); larger ones meet by sort and merge.
+SMALL = 10_000
 #: Edges that a task contracts at a time: the bound on its memory.
 HELD = 1_000_000
 

@@ -83,7 +83,7 @@ def near_copy_groups(sets: DataFrame, dice: float, work: Workspace, recall: floa
     signed = work.write(spread(sets.select("id", "elems")).mapInArrow(_signer(Banding(sets.count(), jaccard, recall, rows)), _SIGNED_DDL).where(F.col("size") > 0))
     classes = work.write(signed.groupBy(*key).agg(F.min("id").alias("rep"), *[F.first(c).alias(c) for c in [*codes, "bands"]]).select("rep", "size", *codes, "bands"))
     shared = signed.groupBy(*key).agg(F.min("id").alias("rep"), F.count_distinct("id").alias("n")).where(F.col("n") > 1).select(*key, "rep")
-    copies = work.write(salted_join(signed.select("id", *key), shared, key, ["id"]).where(F.col("id") != F.col("rep")).select(F.col("id").alias("a"), F.col("rep").alias("b")).distinct())
+    copies = work.write(salted_join(signed.select("id", *key), shared.hint("merge"), key, ["id"]).where(F.col("id") != F.col("rep")).select(F.col("id").alias("a"), F.col("rep").alias("b")).distinct())
     work.drop(signed)
     test = lambda c, a, b: 2 * c >= F.lit(dice) * (a + b)
 
@@ -93,7 +93,7 @@ def near_copy_groups(sets: DataFrame, dice: float, work: Workspace, recall: floa
         return verified(found, sets, sets, test, n).select(F.col("id1").alias("a"), F.col("id2").alias("b"))
 
     labels = work.write(connected_components(links(classes, "next"), work))
-    tagged = work.write(classes.join(labels, classes["rep"] == labels["v"], "left").select("rep", "size", *codes, "bands", F.coalesce("p", "rep").alias("tag")))
+    tagged = work.write(classes.join(labels.hint("merge"), classes["rep"] == labels["v"], "left").select("rep", "size", *codes, "bands", F.coalesce("p", "rep").alias("tag")))
     work.drop(classes)
     stars = labels.where(F.col("v") != F.col("p")).select(F.col("v").alias("a"), F.col("p").alias("b"))
     return connected_components(stars.unionByName(links(tagged, "labels")).unionByName(copies), work).select(F.col("v").alias("rid"), F.col("p").alias("group_id"))

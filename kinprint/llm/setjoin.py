@@ -90,7 +90,7 @@ def sketch_classes(sets: DataFrame, plan: Plan, work: Workspace, probing: bool =
     key = ["d1", "d2", "size"]
     classes = made.groupBy(*key).agg(F.min("id").alias("rep"), *[F.first(c).alias(c) for c in [f"c{k}" for k in range(WORDS)] + ["segments"]])
     reps = made.groupBy(*key).agg(F.min("id").alias("rep"), F.count_distinct("id").alias("n")).where(F.col("n") > 1).select(*key, "rep")
-    copies = salted_join(made.select("id", *key), reps, key, ["id"]).select("id", "rep").distinct()
+    copies = salted_join(made.select("id", *key), reps.hint("merge"), key, ["id"]).select("id", "rep").distinct()
     out = work.write(classes.select("rep", "size", *[f"c{k}" for k in range(WORDS)], "segments")), work.write(copies)
     work.drop(made)
     return out
@@ -106,10 +106,11 @@ def verified(pairs: DataFrame, left: DataFrame, right: DataFrame, test, n: int)
 
     left and right have id and elems; an id with several (equal) rows is taken once.
     An id with a large part of all pairs is salted: its pairs meet its set in several tasks.
+    Sets grow with the data, so they are not broadcast.
     """
     hubs = {k: hot_values(pairs, k, HUB, total=n) if n > HUB else [] for k in ("id1", "id2")}
-    pick = lambda s, k: s.select(F.col("id").alias(f"id{k}"), low32("elems").alias(f"s{k}")).groupBy(f"id{k}").agg(F.first(f"s{k}").alias(f"s{k}"))
-    only = lambda s, k: s.join(pairs.select(F.col(f"id{k}").alias("id")).distinct(), "id", "left_semi")
+    pick = lambda s, k: s.select(F.col("id").alias(f"id{k}"), low32("elems").alias(f"s{k}")).groupBy(f"id{k}").agg(F.first(f"s{k}").alias(f"s{k}")).hint("merge")
+    only = lambda s, k: s.join(pairs.select(F.col(f"id{k}").alias("id")).distinct().hint("merge"), "id", "left_semi")
     both = hot_join(pairs, pick(only(left, 1), 1), "id1", hubs["id1"], "id2")
     both = hot_join(both, pick(only(right, 2), 2), "id2", hubs["id2"], "id1")
     out = both.select("id1", "id2", F.size(F.array_intersect("s1", "s2")).alias("common"), F.size("s1").alias("size1"), F.size("s2").alias("size2"))
@@ -179,7 +180,7 @@ def _copied(links: DataFrame, copies: DataFrame, column: str, other: str) -> Dat
 
     Classes of many links have their links salted, classes of many copies their copies.
     """
-    m = copies.select(F.col("rep").alias(column), F.col("id").alias("__id"))
+    m = copies.select(F.col("rep").alias(column), F.col("id").alias("__id")).hint("merge")
     big = _crowded(copies, "rep")
     few = links.where(~F.col(column).isin(big)) if big else links
     out = hot_join(few, m, column, _crowded(few, column), other, "left")
@@ -191,10 +192,10 @@ def _copied(links: DataFrame, copies: DataFrame, column: str, other: str) -> Dat
 def _copy_pairs(copies: DataFrame) -> DataFrame:
     """All pairs of ids of one set (id1 < id2).  A set of many ids is cut into blocks whose pairs go to different tasks."""
     blocks = copies.groupBy("rep").agg(F.ceil(F.count(F.lit(1)) / COPIES).cast("int").alias("nb"))
-    cut = salted_join(copies, blocks, ["rep"], ["id"]).withColumn("blk", F.pmod(F.hash("id"), F.col("nb")))
+    cut = salted_join(copies, blocks.hint("merge"), ["rep"], ["id"]).withColumn("blk", F.pmod(F.hash("id"), F.col("nb")))
     cut = cut.withColumn("other", F.explode(F.expr("sequence(0, nb - 1)"))).select("rep", "id", "blk", F.least("blk", "other").alias("p"), F.greatest("blk", "other").alias("q"))
     x, y = (cut.select("rep", "p", "q", F.col("id").alias(f"id{k}"), F.col("blk").alias(f"blk{k}")) for k in (1, 2))
-    both = x.join(y, ["rep", "p", "q"]).where((F.col("id1") < F.col("id2")) & ((F.col("p") == F.col("q")) | (F.col("blk1") != F.col("blk2"))))
+    both = x.join(y.hint("merge"), ["rep", "p", "q"]).where((F.col("id1") < F.col("id2")) & ((F.col("p") == F.col("q")) | (F.col("blk1") != F.col("blk2"))))
     return both.select("id1", "id2")
 
 
