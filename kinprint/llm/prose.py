@@ -5,20 +5,19 @@ from __future__ import annotations
 import math
 import re
 
-#: Statistics in order, and the side on which they speak against prose (1 above, -1 below, 0 both).
-SIDES = {
-    "common_share": -1,  # words that are among the language's common words
-    "symbol_share": 1,  # characters that are neither letters, digits nor usual punctuation
-    "digit_share": 1,
-    "plain_share": -1,  # space-separated pieces that are a word, with usual punctuation at most
-    "odd_share": 1,  # pieces that look like identifiers: mixed letters and digits, underscores, inner capitals
-    "word_length": 0,  # mean letters a word
-    "line_words": -1,  # ln(1 + mean words a line)
-    "variety": -1,  # different words of all words
-    "end_share": -1,  # lines that end in closing punctuation
-    "bullet_share": 1,  # lines that begin with a list mark, a number, a table bar or a label of a word or two
-}
-STATISTICS = list(SIDES)
+#: Statistics of a text, in order.
+STATISTICS = [
+    "common_share",  # words that are among the language's common words
+    "symbol_share",  # characters that are neither letters, digits nor usual punctuation
+    "digit_share",
+    "plain_share",  # space-separated pieces that are a word, with usual punctuation at most (in Chinese: characters that are Han)
+    "odd_share",  # pieces that look like identifiers: mixed letters and digits, underscores, inner capitals
+    "word_length",  # mean letters a word
+    "line_words",  # ln(1 + mean words a line)
+    "variety",  # different words of all words
+    "end_share",  # lines that end in closing punctuation
+    "bullet_share",  # lines that begin with a list mark, a number, a table bar or a label of a word or two
+]
 LANGUAGES = ("en", "de", "fr", "es", "zh")
 
 # Frequent Chinese function characters, for which the common-word table has no rows.
@@ -42,11 +41,13 @@ def clean(text: str) -> str:
     return text.replace("\r\n", "\n").replace("\r", "\n").replace("\ufeff", "").replace("\u00a0", " ").replace("\u202f", " ")
 
 
-def stretches(text: str, least: int = 80, most: int = 240) -> list[str]:
+def stretches(text: str, least: int = 80, most: int = 240) -> tuple[list[str], bool]:
     """The text cut into stretches of whole lines of about `least` characters; longer lines are cut evenly, at spaces if there are any.
 
     Together they hold every non-blank character of the text once.  A blank line ends a stretch.
+    Also whether all cuts are at blanks.
     """
+    at_blanks = True
     out: list[str] = []
     held: list[str] = []
     size = 0
@@ -62,7 +63,8 @@ def stretches(text: str, least: int = 80, most: int = 240) -> list[str]:
             at = 0
             while len(line) - at > part * 1.3:
                 cut = line.find(" ", at + int(part * 0.9), at + int(part * 1.2))
-                cut = cut if cut > 0 else at + int(part)
+                if cut < 0:
+                    cut, at_blanks = at + int(part), False
                 out.append(line[at:cut].strip())
                 at = cut
             out.append(line[at:].strip())
@@ -71,65 +73,139 @@ def stretches(text: str, least: int = 80, most: int = 240) -> list[str]:
         size += len(line)
     if held:
         out.append("\n".join(held))
-    return [x for x in out if x]
+    return [x for x in out if x], at_blanks
 
 
 def words_of(text: str) -> list[str]:
-    return [w.lower() for w in _WORD.findall(text)]
-
-
-def language_of(words: list[str], common: dict[str, frozenset], declared: str | None) -> str:
-    """The language with the most common words in the text, if it has enough of them; else the declared one, else 'und'."""
-    if words and sum(1 for w in words if _HAN.match(w)) * 2 > len(words):
-        return "zh"
-    hits = {lang: sum(w in c for w in words) for lang, c in common.items()}
-    best = max(hits, key=lambda x: (hits[x], x), default=None)
-    if best and hits[best] >= max(2, 0.1 * len(words)):
-        return best
-    declared = (declared or "").strip().lower()
-    return declared if declared in LANGUAGES else "und"
-
-
-def statistics_of(text: str, lang: str, common: dict[str, frozenset], words: list[str] | None = None) -> list[float]:
-    """The statistics of a stretch of text; all 0 for a blank one."""
-    bare = "".join(text.split())
-    if not bare:
-        return [0.0] * len(STATISTICS)
-    words = words_of(text) if words is None else words
-    n = len(words)
-    lines = [x for x in text.split("\n") if x.strip()]
-    pieces = text.split()
-    if lang == "zh":
-        hits = sum(w in _ZH for w in words)
-        plain = sum(len(_HAN.findall(p)) for p in pieces) / len(bare)
-        length = 1.5
-    else:
-        known = common.get(lang) or frozenset().union(*common.values()) if common else frozenset()
-        hits = sum(w in known for w in words)
-        plain = sum(1 for p in pieces if _PLAIN.fullmatch(p)) / len(pieces)
-        length = sum(map(len, words)) / n if n else 0.0
-    return [
-        hits / n if n else 0.0,
-        len(_SYMBOL.findall(bare)) / len(bare),
-        len(_DIGIT.findall(bare)) / len(bare),
-        plain,
-        sum(1 for p in pieces if _ODD.fullmatch(p.strip("\"'.,;:!?()[]{}"))) / len(pieces),
-        length,
-        math.log1p(n / len(lines)),
-        len(set(words)) / n if n else 0.0,
-        sum(1 for x in lines if x.rstrip().endswith(_ENDS)) / len(lines),
-        sum(1 for x in lines if _BULLET.match(x)) / len(lines),
-    ]
-
-
-#: Statistics of a whole text besides STATISTICS.
+    return _WORD.findall(text.lower()) if text.isascii() else [w.lower() for w in _WORD.findall(text)]
+
+
+class Common:
+    """The common words of all languages, looked up at once: of each known word the languages that have it."""
+
+    def __init__(self, common: dict[str, frozenset]):
+        self.languages = sorted(common)
+        self._of: dict[str, tuple[int, ...]] = {}
+        for i, lang in enumerate(self.languages):
+            for w in common[lang]:
+                self._of[w] = (*self._of.get(w, ()), i)
+
+    def hits(self, words: list[str]) -> list[int]:
+        """How many of the words are common in each language, and, last, in any."""
+        out = [0] * (len(self.languages) + 1)
+        for found in filter(None, map(self._of.get, words)):
+            out[-1] += 1
+            for i in found:
+                out[i] += 1
+        return out
+
+
+class _Kinds(dict):
+    """Pieces seen before: 1 for a plain word, 2 for an odd one, 3 for both, else 0.  Emptied when full."""
+
+    def __missing__(self, piece: str) -> int:
+        found = bool(_PLAIN.fullmatch(piece)) + 2 * bool(_ODD.fullmatch(piece.strip("\"'.,;:!?()[]{}")))
+        if len(piece) < 40:
+            if len(self) >= 100_000:
+                self.clear()
+            self[piece] = found
+        return found
+
+
+_KINDS = _Kinds()
+
+
+class Counts:
+    """What is counted in a text: additive over parts that are cut at blanks, but for the lines and the different words."""
+
+    __slots__ = ("chars", "words", "hits", "han", "han_known", "letters", "symbols", "digits", "pieces", "plain", "odd", "lines", "ends", "bullets", "different")
+
+    def __init__(self, text: str, common: Common):
+        pieces = text.split()
+        bare = "".join(pieces)
+        words = words_of(text)
+        kinds = list(map(_KINDS.__getitem__, pieces))
+        self.chars, self.words, self.letters = len(bare), len(words), sum(map(len, words))
+        self.hits = common.hits(words)
+        self.han = 0 if text.isascii() else len(_HAN.findall(text))
+        self.han_known = sum(w in _ZH for w in words) if self.han else 0
+        self.symbols, self.digits = len(_SYMBOL.findall(bare)), len(_DIGIT.findall(bare))
+        both = kinds.count(3)
+        self.pieces, self.plain, self.odd = len(pieces), kinds.count(1) + both, kinds.count(2) + both
+        self.different = set(words)
+        self.count_lines(text)
+
+    def count_lines(self, text: str) -> None:
+        lines = [x for x in text.split("\n") if x and not x.isspace()]
+        self.lines = len(lines)
+        self.ends = sum(x.rstrip().endswith(_ENDS) for x in lines)
+        self.bullets = sum(bool(_BULLET.match(x)) for x in lines)
+
+    def add(self, other: Counts) -> None:
+        """The counts of both parts; lines are left as they are."""
+        self.chars += other.chars
+        self.words += other.words
+        self.han += other.han
+        self.han_known += other.han_known
+        self.letters += other.letters
+        self.symbols += other.symbols
+        self.digits += other.digits
+        self.pieces += other.pieces
+        self.plain += other.plain
+        self.odd += other.odd
+        self.hits = [a + b for a, b in zip(self.hits, other.hits)]
+        self.different.update(other.different)
+
+    def language(self, common: Common, declared: str | None) -> str:
+        """The language with the most common words in the text, if it has enough of them; else the declared one, else 'und'."""
+        if self.words and self.han * 2 > self.words:
+            return "zh"
+        best = max(zip(self.hits, common.languages), default=None)
+        if best and best[0] >= max(2, 0.1 * self.words):
+            return best[1]
+        declared = (declared or "").strip().lower()
+        return declared if declared in LANGUAGES else "und"
+
+    def statistics(self, lang: str, common: Common) -> list[float]:
+        """STATISTICS in order; all 0 for a blank text.  word_length is in letters, in Chinese, too."""
+        if not self.chars:
+            return [0.0] * len(STATISTICS)
+        n = self.words
+        if lang == "zh":
+            hits, plain = self.han_known, self.han / self.chars
+        else:
+            hits = self.hits[common.languages.index(lang) if lang in common.languages else -1]
+            plain = self.plain / self.pieces
+        return [
+            hits / n if n else 0.0,
+            self.symbols / self.chars,
+            self.digits / self.chars,
+            plain,
+            self.odd / self.pieces,
+            self.letters / n if n else 0.0,
+            math.log1p(n / self.lines),
+            len(self.different) / n if n else 0.0,
+            self.ends / self.lines,
+            self.bullets / self.lines,
+        ]
+
+
+#: Counts of a whole text besides STATISTICS.
 COUNTS = ("n_words", "n_lines")
 
 
-def whole_statistics(text: str, lang: str, common: dict[str, frozenset]) -> list[float]:
-    """Words and non-blank lines of a whole text, then its STATISTICS over its own lines (word_length in letters for Chinese, too)."""
-    text = clean(text)
-    words = words_of(text)
-    out = statistics_of(text, lang, common, words)
-    out[STATISTICS.index("word_length")] = sum(map(len, words)) / len(words) if words else 0.0
-    return [float(len(words)), float(sum(1 for x in text.split("\n") if x.strip())), *out]
+def measured(text: str | None, declared: str | None, common: Common) -> tuple[list[Counts], Counts | None, str]:
+    """The counts of every stretch of a text and of the whole of it, and its language; nothing for a blank text."""
+    cut, at_blanks = stretches(text or "")
+    parts = [Counts(x, common) for x in cut]
+    if not parts:
+        return [], None, "und"
+    tidy = clean(text)
+    if at_blanks:
+        whole = Counts("", common)
+        for p in parts:
+            whole.add(p)
+        whole.count_lines(tidy)
+    else:  # a stretch ends within a word
+        whole = Counts(tidy, common)
+    return parts, whole, whole.language(common, declared)
