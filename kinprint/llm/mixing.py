@@ -63,13 +63,17 @@ def clean_source(column: str = "source"):
     return F.nullif(F.lower(F.regexp_replace(F.col(column), r"^[\s ]+|[\s ]+$", "")), F.lit(""))
 
 
+#: As a total: the tokens that all sources with a target hold together.
+ALL = -1
+
+
 def quotas(available: DataFrame, targets: DataFrame, total_tokens: int | None = None, block: int = BLOCK) -> list[dict]:
-    """Per source of the settings: share, tokens available, cap and quota in blocks.
+    """Per source of the settings: share, tokens available, cap, tokens wanted and quota in whole blocks.
 
     available: source, tokens (one row a source).  targets: source, target_share,
     max_repeats.  Sources missing on either side get nothing.  Without total_tokens
     the mixture is the largest in which every source present reaches its share
-    within its repeats; with it, sources at their cap leave their rest to the others.
+    within its repeats; with it (or ALL), sources at their cap leave their rest to the others.
     """
     wanted = targets.where(F.col("target_share") > 0).groupBy(clean_source().alias("source")).agg(F.sum("target_share").alias("target_share"), F.max("max_repeats").alias("max_repeats"))
     rows = [r.asDict() for r in settings_rows(wanted.where(F.col("source").isNotNull()).join(available, "source", "left").orderBy("source"), MOST_SOURCES, "mix_targets")]
@@ -80,9 +84,13 @@ def quotas(available: DataFrame, targets: DataFrame, total_tokens: int | None =
     mass = sum(r["target_share"] for r in there)
     if total_tokens is None:
         total_tokens = int(min((r["most"] / (r["target_share"] / mass) for r in there), default=0))
+    elif total_tokens == ALL:
+        total_tokens = sum(r["tokens"] for r in there)
+    everything = sum(r["target_share"] for r in rows)
     held = sainte_lague({r["source"]: r["target_share"] for r in there}, total_tokens // block, {r["source"]: r["most"] // block for r in there})
     for r in rows:
         r["quota"] = held.get(r["source"], 0) * block
+        r["wanted"] = int(round(total_tokens * r["target_share"] / everything))
     return rows
 
 
@@ -110,7 +118,10 @@ def shard_blocks(stock: DataFrame, plan: DataFrame, block: int = BLOCK) -> DataF
 
 
 def mixture(counts: DataFrame, targets: DataFrame, work: Workspace, total_tokens: int | None = None, block: int = BLOCK, seed: int = 1, shard: int = SHARD) -> tuple[DataFrame, DataFrame]:
-    """(texts: doc_id, source, n_tokens, copies; report: the shares wanted and reached per source).
+    """(texts: doc_id, source, n_tokens, copies; report: the tokens and shares wanted and reached per source).
+
+    total_tokens: the size aimed at (ALL: what the sources hold together).  A source whose
+    repeats do not suffice for its share has the rest as shortfall_tokens in the report, and others fill the room.
 
     counts: doc_id, source, n_tokens.  Texts of no tokens, of no source or of a source
     without a target are left out.  A source's quota is dealt to its shards in whole
@@ -128,8 +139,8 @@ def mixture(counts: DataFrame, targets: DataFrame, work: Workspace, total_tokens
     stock = work.write(texts.groupBy("source", "shard").agg(F.sum("n_tokens").alias("held")))
     rows = quotas(stock.groupBy("source").agg(F.sum("held").alias("tokens")), targets, total_tokens, block)
     spark = counts.sparkSession
-    ddl = "source string, target_share double, max_repeats int, tokens bigint, quota bigint"
-    plan = spark.createDataFrame([(r["source"], r["target_share"], r["max_repeats"], r["tokens"], r["quota"]) for r in rows], ddl)
+    ddl = "source string, target_share double, max_repeats int, tokens bigint, wanted bigint, quota bigint"
+    plan = spark.createDataFrame([(r["source"], r["target_share"], r["max_repeats"], r["tokens"], r["wanted"], r["quota"]) for r in rows], ddl)
     per_shard = shard_blocks(stock, plan.withColumn("cap", F.greatest(F.coalesce("max_repeats", F.lit(1)), F.lit(1))), block)
     per_shard = per_shard.select(F.col("source").alias("s"), F.col("shard").alias("h"), "held", "cap", (F.col("blocks") * block).alias("upto"))
     line = Window.partitionBy("source", "shard").orderBy(F.xxhash64("doc_id", F.lit(seed + 1)), "doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -142,5 +153,21 @@ def mixture(counts: DataFrame, targets: DataFrame, work: Workspace, total_tokens
     got = taken.groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("copies")).alias("taken_tokens"), F.count(F.lit(1)).alias("texts"), F.max("copies").alias("most_copies"))
     report = plan.join(got, "source", "left").withColumn("taken_tokens", F.coalesce("taken_tokens", F.lit(0)))
     whole = got.agg(F.sum("taken_tokens")).first()[0] or 1
-    report = report.select("source", "target_share", "max_repeats", F.col("tokens").alias("available_tokens"), F.col("quota").alias("quota_tokens"), "taken_tokens", F.coalesce("texts", F.lit(0)).alias("texts"), F.coalesce("most_copies", F.lit(0)).alias("most_copies"), (F.col("taken_tokens") / F.lit(float(whole))).alias("reached_share"))
+    report = report.select("source", "target_share", "max_repeats", F.col("tokens").alias("available_tokens"), F.col("wanted").alias("wanted_tokens"), F.col("quota").alias("quota_tokens"), "taken_tokens", F.greatest(F.col("wanted") - F.col("taken_tokens"), F.lit(0)).alias("shortfall_tokens"), F.coalesce("texts", F.lit(0)).alias("texts"), F.coalesce("most_copies", F.lit(0)).alias("most_copies"), (F.col("taken_tokens") / F.lit(float(whole))).alias("reached_share"))
     return taken, report
+
+
+def mixture_faults(taken: DataFrame, report: DataFrame, counts: DataFrame, shard: int = SHARD, block: int = BLOCK) -> DataFrame:
+    """Per source of the settings its texts, and how many break a rule; all but texts_available are 0 for a sound mixture.
+
+    over_repeats: texts taken more often than allowed; twice: texts in several rows; off_quota: 1
+    if the tokens taken differ from the quota by more than a text and a block for each shard.
+    """
+    texts = counts.where(F.col("n_tokens") > 0).groupBy(clean_source().alias("source")).agg(F.count(F.lit(1)).alias("texts_available"), F.max("n_tokens").alias("longest"))
+    caps = report.select("source", F.greatest(F.coalesce("max_repeats", F.lit(1)), F.lit(1)).alias("cap"))
+    per = taken.join(caps, "source").groupBy("source").agg(F.count_if(F.col("copies") > F.col("cap")).alias("over_repeats"), (F.count(F.lit(1)) - F.count_distinct("doc_id")).alias("twice"))
+    shards = max(1, math.ceil(counts.count() / shard))
+    off = F.abs(F.col("taken_tokens") - F.col("quota_tokens")) > (F.coalesce("longest", F.lit(0)) + block) * shards
+    zero = F.lit(0).cast("bigint")
+    out = report.join(texts, "source", "left").join(per, "source", "left")
+    return out.select("source", F.round("target_share", 9).alias("target_share"), "max_repeats", *[F.coalesce(c, zero).alias(c) for c in ("texts_available", "over_repeats", "twice")], off.cast("bigint").alias("off_quota"))

@@ -24,6 +24,15 @@ _JOIN = """l as (select rid, {0} s from ({1}) where token_count >= 40), le as (s
 a as (select p.rid id1, q.rid id2, count(*) c, any_value(p.n) n1, any_value(q.n) n2 from le p join le q on p.x = q.x and p.rid < q.rid group by p.rid, q.rid)"""
 _WITHIN = _JOIN.format(_SET.format("lex_base_hashes"), _ROWS)
 
+_ENTROPY = f"""f as ({_ROWS}), t as (select rid, e.key term, e.value n from (select rid, unnest(map_entries(tf)) e from f) where e.value >= 1),
+g as (select term, sum(n) total, sum(n * ln(n)) s from t group by term),
+scored as (select rid, term, n::bigint n, ln(1 + n) * least(greatest(1 - (ln(total) - s / total) / ln((select count(*) from f)::double), 0), 1) score from t join g using (term))"""
+_SPANS = f"""f as (select rid, list_transform(base_hashes, lambda x: x & 4294967295) b from ({_ROWS})),
+w as (select rid, i, b[i:i+31] w from (select rid, b, unnest(range(1, len(b) - 30)) i from f)),
+s as (select w from w group by w having min(rid) <> max(rid)),
+c as (select distinct rid, i + k p from w semi join s using (w), (select unnest(range(-1, 31)) k))"""
+_CLEAN = r"nullif(lower(regexp_replace(source, '^[\s\x{A0}]+|[\s\x{A0}]+$', '', 'g')), '')"
+
 SQL = {
     "p1_found": f"select * from {_linked('rid')} union all select * from {_linked('uid')}",
     "p3_found": f"""with {_WITHIN},
@@ -53,13 +62,19 @@ select v rid, l group_id from cc""",
 d as (select term, count(*) df from t group by term),
 r as (select rid, term, row_number() over (partition by rid order by n * ln(1 + (select count(*) from f)::double / df) desc, term) i from t join d using (term))
 select rid, term from r where i = 1""",
-    "p5_log_entropy": f"""with f as ({_ROWS}), t as (select rid, e.key term, e.value n from (select rid, unnest(map_entries(tf)) e from f) where e.value >= 1),
-g as (select term, sum(n) total, sum(n * ln(n)) s from t group by term)
-select rid, term, n::bigint n, round(ln(1 + n) * least(greatest(1 - (ln(total) - s / total) / ln((select count(*) from f)::double), 0), 1), 6) score from t join g using (term)""",
-    "p6_found": f"""with f as (select rid, list_transform(base_hashes, lambda x: x & 4294967295) b from ({_ROWS})),
-w as (select rid, i, b[i:i+31] w from (select rid, b, unnest(range(1, len(b) - 30)) i from f)),
-s as (select w from w group by w having min(rid) <> max(rid)),
-c as (select distinct rid, i + k p from w semi join s using (w), (select unnest(range(-1, 31)) k)),
+    "p5_log_entropy": f"with {_ENTROPY} select rid, term, n, round(score, 6) score from scored",
+    "p5_telling": f"""with {_ENTROPY}, r as (select *, row_number() over (partition by rid order by round(score, 9) desc, term) i from scored)
+select rid, term, round(round(score, 9), 6) score from r where i = 1""",
+    "p6_found": f"""with {_SPANS},
 g as (select rid, p, p - row_number() over (partition by rid order by p) g from c)
 select rid, min(p)::int start_pos, (max(p) + 1)::int end_pos from g group by rid, g""",
+    "p6_shares": f"""with {_SPANS}
+select rid, len(b) n_values, coalesce(n, 0) n_shared, case when len(b) > 0 then round(coalesce(n, 0) / len(b), 9) else 0 end share
+from (select rid, coalesce(b, []) b from f) left join (select rid, count(*) n from c group by rid) using (rid)""",
+    # What the tokens are SQL cannot say, but no text may be lost and no rule broken.
+    "p7_checks": """select spec_id, (select count(*) from documents where doc_id is not null and text <> '') texts, 0 wrong_tokens, 0 needless_splits, 0 over_capacity, 0 over_limits
+from (select distinct spec_id from pack_specs where spec_id is not null and capacity_tokens > 0)""",
+    "p8_checks": f"""with t as (select {_CLEAN} source, round(sum(target_share), 9) target_share, max(max_repeats) max_repeats from mix_targets where target_share > 0 group by 1),
+d as (select {_CLEAN} source, count(*) n from documents where doc_id is not null and text <> '' group by 1)
+select t.source, target_share, max_repeats, coalesce(n, 0) texts_available, 0 over_repeats, 0 twice, 0 off_quota from t left join d using (source) where t.source is not null""",
 }

@@ -72,6 +72,11 @@ def p5_log_entropy(spark: SparkSession, folder: str) -> DataFrame:
     return scored.select("rid", "term", "n", F.round("score", 6).alias("score"))
 
 
+def p5_telling(spark: SparkSession, folder: str) -> DataFrame:
+    """The most telling keyword of every counted row by log-entropy (scores compared at nine decimals)."""
+    return terms.top_term(terms.scored_terms(_tf(spark, folder), Workspace(spark, "p5t")), 9).select("rid", "term", F.round("score", 6).alias("score"))
+
+
 def _sequences(spark: SparkSession, folder: str) -> DataFrame:
     return counted_features(spark, folder, "base_hashes").withColumnRenamed("base_hashes", "seq")
 
@@ -84,7 +89,7 @@ def p6_found(spark: SparkSession, folder: str) -> DataFrame:
 def p6_shares(spark: SparkSession, folder: str) -> DataFrame:
     """Per counted row how much of its token sequence stands in another submission."""
     rows = _sequences(spark, folder)
-    return spans.shared_shares(rows, spans.shared_spans(rows, Workspace(spark, "p6s")))
+    return spans.shared_shares(rows, spans.shared_spans(rows, Workspace(spark, "p6s"))).withColumn("share", F.round("share", 9))
 
 
 def _token_counts(spark: SparkSession, folder: str, work: Workspace) -> DataFrame:
@@ -101,6 +106,13 @@ def p7_report(spark: SparkSession, folder: str) -> DataFrame:
     return packing.container_report(p7_packed(spark, folder), table(spark, folder, "pack_specs"))
 
 
+def p7_checks(spark: SparkSession, folder: str) -> DataFrame:
+    """Per capacity the texts packed and how many texts or containers break a rule of packing."""
+    work = Workspace(spark, "p7c")
+    counts, specs = _token_counts(spark, folder, work), table(spark, folder, "pack_specs")
+    return packing.packing_faults(work.write(packing.packed(counts, specs)), counts, specs)
+
+
 def p8_mixture(spark: SparkSession, folder: str) -> DataFrame:
     """The texts of the mixture and how often each is taken."""
     work = Workspace(spark, "p8")
@@ -113,6 +125,19 @@ def p8_shares(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mixture(_token_counts(spark, folder, work), table(spark, folder, "mix_targets"), work)[1]
 
 
+def p8_full(spark: SparkSession, folder: str) -> DataFrame:
+    """Shares and shortfalls per source of a mixture as large as all sources together, in which small sources meet their cap of repeats."""
+    work = Workspace(spark, "p8f")
+    return mixing.mixture(_token_counts(spark, folder, work), table(spark, folder, "mix_targets"), work, mixing.ALL)[1]
+
+
+def p8_checks(spark: SparkSession, folder: str) -> DataFrame:
+    """Per source the texts there are and how many break a rule in the mixture as large as all sources together."""
+    work = Workspace(spark, "p8c")
+    counts = _token_counts(spark, folder, work)
+    return mixing.mixture_faults(*mixing.mixture(counts, table(spark, folder, "mix_targets"), work, mixing.ALL), counts)
+
+
 def p9_quality(spark: SparkSession, folder: str) -> DataFrame:
     """Statistics, distance from prose and contributions of every document."""
     return quality.text_quality(table(spark, folder, "documents"), table(spark, folder, "common_words"), Workspace(spark, "p9"))
@@ -123,5 +148,10 @@ def p9_found(spark: SparkSession, folder: str) -> DataFrame:
     return quality.not_prose(p9_quality(spark, folder))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p3_found, p3_links, p3_known, p4_found, p5_found, p5_log_entropy, p6_found, p6_shares, p7_packed, p7_report, p8_mixture, p8_shares, p9_quality, p9_found)}
+def p9_far(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents beyond the cutoff as a whole, with their distance and the statistic that contributes most."""
+    return quality.far_from_prose(p9_quality(spark, folder)).withColumn("distance", F.round("distance", 6))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p3_found, p3_links, p3_known, p4_found, p5_found, p5_log_entropy, p5_telling, p6_found, p6_shares, p7_packed, p7_report, p7_checks, p8_mixture, p8_shares, p8_full, p8_checks, p9_quality, p9_far, p9_found)}
 SQL: dict[str, str] = oracle.SQL

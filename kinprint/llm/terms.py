@@ -46,7 +46,11 @@ def scored_terms(records: DataFrame, work: Workspace, scheme: str = "log_entropy
     return joined.select("rid", "term", "n", "df", score.alias("score"))
 
 
-def top_term(scored: DataFrame) -> DataFrame:
-    """The second aggregation: each record's term of greatest score (of equal ones the first in binary order): rid, term, score."""
-    best = scored.groupBy("rid").agg(F.min(F.struct((-F.col("score")).alias("s"), F.col("term").alias("t"))).alias("b"))
+def top_term(scored: DataFrame, decimals: int | None = None) -> DataFrame:
+    """The second aggregation: each record's term of greatest score (of equal ones the first in binary order): rid, term, score.
+
+    decimals: scores that agree up to so many decimals count as equal; sums of logarithms differ in the last bits with the order of rows.
+    """
+    score = F.col("score") if decimals is None else F.round("score", decimals)
+    best = scored.groupBy("rid").agg(F.min(F.struct((-score).alias("s"), F.col("term").alias("t"))).alias("b"))
     return best.select("rid", F.col("b.t").alias("term"), (-F.col("b.s")).alias("score"))

@@ -53,8 +53,8 @@ def test_too_many_settings_are_refused(spark, monkeypatch):
     specs = spark.range(1001).select(F.col("id").alias("spec_id"), (F.col("id") + 10).cast("int").alias("capacity_tokens"))
     counts = spark.createDataFrame([(1, 5, 0)], COUNTS)
     with pytest.raises(ValueError, match="pack_specs"):
-        packing.pieces(counts, specs)
-    assert packing.pieces(counts, specs.where("spec_id < 1000")).count() == 1000
+        packing.pieces(counts, packing.with_limits(specs))
+    assert packing.pieces(counts, packing.with_limits(specs.where("spec_id < 1000"))).count() == 1000
     items = spark.range(1001).selectExpr("id spec_id", "id container_id", "1 n_tokens")
     assert packing.container_report(items, specs).count() == 1001
     targets = spark.createDataFrame([("a", 0.5, 1), ("b", 0.5, 1)], "source string, target_share double, max_repeats int")
@@ -181,7 +181,8 @@ def test_text_quality(spark, work):
     assert out.where("doc_id >= 500 and n_chars = 0 and outlier_share is null").count() == 3
     row = out.where("doc_id = 300").first()
     parts = [row[f"{s}_part"] for s in prose.STATISTICS]
-    assert sum(parts) == pytest.approx(row["distance"] ** 2) and row["common_share_part"] > 1 and row["bullet_share_part"] > 1
+    assert sum(parts) == pytest.approx(row["distance"] ** 2) and row["distance"] ** 2 > quality.CUTOFF and row["bullet_share_part"] > 1
+    assert {300, 301, 302, 303, 304} <= {r[0] for r in quality.far_from_prose(out).collect()} and out.where("doc_id < 200 and distance > 6").count() == 0
     assert quality.not_prose(quality.text_quality(docs.limit(0), words, work)).count() == 0
 
 
@@ -212,26 +213,51 @@ def test_a_rare_language_has_no_threshold():
     probe = np.full((1, quality.D), 1.2)
     d2 = []
     for n in range(61):
-        model = quality.Model({"en": moments(many), **({"xx": moments(few[:n])} if n else {})})
-        d2.append(float(model.contributions(np.array(["xx"]), probe, np.array([100.0])).sum()))
+        model = quality.Model({"en": moments(many), **({"xx": moments(few[:n])} if n else {})}, np.full(quality.D, 0.1))
+        d2.append(float(model.contributions(np.array(["xx"]), probe).sum()))
         if n:
             assert 0.5 < model.mean["xx"].mean() < 0.9
     assert max(abs(np.diff(d2))) < 0.25 * (max(d2) - min(d2)) and d2[60] < d2[0]
-    assert len(quality.Model({}).mean) == 1
+    assert len(quality.Model({}, np.zeros(quality.D)).mean) == 1
+
+
+def test_distance_is_mahalanobis():
+    rnd = np.random.default_rng(7)
+    x = rnd.multivariate_normal(np.zeros(quality.D), np.eye(quality.D) + 0.5, 200_000)
+    d2 = np.einsum("ij,jk,ik->i", x, np.linalg.inv(np.eye(quality.D) + 0.5), x)
+    assert quality.chi_square(quality.CUTOFF, quality.D) == pytest.approx(quality.INSIDE) and (d2 < quality.CUTOFF).mean() == pytest.approx(quality.INSIDE, abs=0.002)
+    inside = x[d2 < quality.CUTOFF]  # the trimmed covariance is brought back to scale
+    assert quality.CONSISTENCY * np.cov(inside.T) == pytest.approx(np.eye(quality.D) + 0.5, abs=0.03)
+    model = quality.Model({"en": quality._sums(inside)}, np.ones(quality.D))
+    cov = (1 - quality.RIDGE) * quality.CONSISTENCY * np.cov(inside.T, bias=True) + quality.RIDGE * np.eye(quality.D)
+    want = np.einsum("ij,jk,ik->i", x[:50] - inside.mean(0), np.linalg.inv(cov), x[:50] - inside.mean(0))
+    assert model.contributions(np.array(["en"] * 50), x[:50]).sum(axis=1) == pytest.approx(want, rel=0.01)
 
 
 @given(st.text(max_size=600))
 @settings(max_examples=200, deadline=None)
 def test_stretches_hold_every_character(text):
-    cut = prose.stretches(text)
+    cut, _ = prose.stretches(text)
     bare = lambda s: "".join(s.split())
     assert bare("".join(cut)) == bare(prose.clean(text))
-    for s in cut:
-        assert len(prose.statistics_of(s, "en", {"en": frozenset({"the"})})) == len(prose.STATISTICS)
+
+
+@given(st.text(alphabet="ab the. \n#1_é人，\u00a0", max_size=900))
+@settings(max_examples=200, deadline=None)
+def test_whole_counts_are_those_of_the_text(text):
+    common = prose.Common({"en": frozenset({"the"})})
+    parts, whole, lang = prose.measured(text, None, common)
+    if not parts:
+        assert not text.strip()
+        return
+    once = prose.Counts(prose.clean(text), common)
+    assert all(getattr(whole, c) == getattr(once, c) for c in prose.Counts.__slots__) and lang == once.language(common, None)
+    assert len(whole.statistics(lang, common)) == len(prose.STATISTICS)
 
 
 def test_languages():
-    common = {"en": frozenset({"the", "of"}), "de": frozenset({"der", "und"})}
-    assert prose.language_of("the end of the day".split(), common, "de") == "en"
-    assert prose.language_of(["x"] * 9, common, " DE ") == "de" and prose.language_of([], {}, None) == "und"
-    assert prose.language_of(prose.words_of("这是一个测试"), common, "en") == "zh"
+    common = prose.Common({"en": frozenset({"the", "of"}), "de": frozenset({"der", "und"})})
+    say = lambda text, declared: prose.Counts(text, common).language(common, declared)
+    assert say("the end of the day", "de") == "en"
+    assert say("x " * 9, " DE ") == "de" and prose.Counts("", prose.Common({})).language(prose.Common({}), None) == "und"
+    assert say("这是一个测试", "en") == "zh"
