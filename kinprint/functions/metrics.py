@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -152,23 +153,23 @@ def line_diff_of(a: list[str], b: list[str], limit: int = CELL_LIMIT) -> list[di
     Rows keep a longest common subsequence; where lines differ a deletion comes
     first if it loses nothing.
     """
-    n, m = len(a), len(b)
-    if n * m > limit:
+    if len(a) * len(b) > limit:
         return None
     x, y = [s.strip(BLANK) for s in a], [s.strip(BLANK) for s in b]
-    best = [[0] * (m + 1)]
-    for line in reversed(x):
-        below, row = best[-1], [0] * (m + 1)
-        for j in range(m - 1, -1, -1):
-            row[j] = below[j + 1] + 1 if line == y[j] else max(below[j], row[j + 1])
-        best.append(row)
-    best.reverse()
+    n, m = len(x), len(y)
+    head = next((k for k, (p, q) in enumerate(zip(x, y)) if p != q), min(n, m))
+    number: dict[str, int] = {}
+    p, q = (np.array([number.setdefault(s, len(number)) for s in lines[head:]], dtype=np.int32) for lines in (x, y))
+    best = np.zeros((n - head + 1, m - head + 1), dtype=np.int32)
+    for k in range(n - head - 1, -1, -1):
+        below = best[k + 1]
+        best[k, :-1] = np.maximum.accumulate(np.maximum(below[:-1], np.where(q == p[k], below[1:] + 1, 0))[::-1])[::-1]
     out, i, j = [], 0, 0
     while i < n or j < m:
         if i < n and j < m and x[i] == y[j]:
             i, j = i + 1, j + 1
             out.append({"l": i, "r": j, "type": "eq"})
-        elif j >= m or (i < n and best[i + 1][j] >= best[i][j + 1]):
+        elif j >= m or (i < n and best[i + 1 - head, j - head] >= best[i - head, j + 1 - head]):
             i += 1
             out.append({"l": i, "r": None, "type": "del"})
         else:

@@ -107,3 +107,23 @@ def test_users(spark):
     users = spark.createDataFrame([(7, "Ann", "a@b"), (3, "ann", None), (9, "7", "x@y"), (None, "nobody", None)], "uid bigint, name string, mail string")
     find = lambda text: config.resolve_user(users, text)
     assert (find("7"), find(" ANN "), find("X@y"), find("b@c"), find("nobody"), find(""), find(None), find("9" * 30)) == (7, 3, 9, None, None, None, None, None)
+
+
+@given(st.lists(st.sampled_from("abc"), max_size=12), st.lists(st.sampled_from("abc "), max_size=12))
+@settings(max_examples=200, deadline=None)
+def test_line_diff_against_the_recurrence(a, b):
+    x, y = [s.strip() for s in a], [s.strip() for s in b]
+    best = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
+    for i in range(len(x) - 1, -1, -1):
+        for j in range(len(y) - 1, -1, -1):
+            best[i][j] = best[i + 1][j + 1] + 1 if x[i] == y[j] else max(best[i + 1][j], best[i][j + 1])
+    i = j = 0
+    for row in line_diff_of(a, b):
+        if i < len(x) and j < len(y) and x[i] == y[j]:
+            i, j, want = i + 1, j + 1, "eq"
+        elif j == len(y) or i < len(x) and best[i + 1][j] >= best[i][j + 1]:
+            i, want = i + 1, "del"
+        else:
+            j, want = j + 1, "ins"
+        assert (row["type"], row["l"], row["r"]) == (want, i if want != "ins" else None, j if want != "del" else None)
+    assert (i, j) == (len(x), len(y))
