@@ -163,6 +163,14 @@ def code_evidence(spark: SparkSession, folder: str) -> DataFrame:
     return _computed(spark, folder).select("rid", F.md5(F.array_join("idents", "\n")).alias("idents"), "comment_count", F.array_join(F.col("comment_hashes").cast("array<string>"), ",").alias("comment_hashes"), F.array_join("flags", ",").alias("flags"))
 
 
+@query(f"""with recursive {sql.TEXTS}, {sql.TOKENS}, {sql.FUNCTIONS}
+select rid, array_to_string(list(name || ' ' || len(body) || ' ' || {sql.FNV.format("array_to_string(body, chr(10))")} order by i), ',') funcs from funcs where len(body) between 1 and 20000 group by rid""")
+def code_functions(spark: SparkSession, folder: str) -> DataFrame:
+    """Name, length and hash of every function of every submission that has any."""
+    rows = _computed(spark, folder).where(F.size("funcs") > 0)
+    return rows.select("rid", F.array_join(F.transform("funcs", lambda f: F.concat_ws(" ", f["name"], f["len"], f["hash"])), ",").alias("funcs"))
+
+
 @query(f"select (select count(*) from documents) + (select count(distinct rid) from submissions where coalesce(files_code, '') = '' and coalesce(code, '') <> '' and {sql._FAMILY} = 'plain') texts, 0 other")
 def plain_agreement(spark: SparkSession, folder: str) -> DataFrame:
     """Texts of the plain family, and how many of them the scan's lexer and the Catalyst one read differently."""

@@ -130,6 +130,35 @@ dp(id, d, p1, p2) using key (id) as (
 lcs as (select id, equal_ + coalesce(p1[len(a) + 1], 0) n from middles left join dp using (id))"""
 
 
+_BLANK_SET = _BLANKS[:-1]
+#: Functions of all texts in order, as funcs (rid, i, name, body): brackets meet their partners by their depth, and a
+#: function begins after the one before it has ended.
+FUNCTIONS = rf"""tk as (select rid, family, i, x.k k, x.v v, x.x x from (select rid, family, unnest(t) x, generate_subscripts(t, 1) i from toks)),
+marks as (select rid, i, '(' kind, case v when '(' then 1 else -1 end s from tk where k = 'p' and v in ('(', ')') union all select rid, i, '{{', case v when '{{' then 1 else -1 end from tk where k = 'p' and v in ('{{', '}}')
+  union all select rid, i, 'begin', case v when 'begin' then 1 else -1 end from tk where k = 'w' and v in ('begin', 'end')),
+sums as (select *, sum(s) over (partition by rid, kind order by i) r from marks),
+levels_ as (select *, r - least(0, min(r) over (partition by rid, kind order by i)) + case when s < 0 then 1 else 0 end level from sums),
+nexts as (select rid, kind, i, s, lead(i) over w j, lead(s) over w sj from levels_ window w as (partition by rid, kind, level order by i)),
+partner as (select rid, kind, i, j from nexts where s = 1 and sj = -1),
+heads_ as (select a.rid, a.i, case when a.k = 'n' then a.x else '' end as name, r.j + 1 + (case when n1.k = 'p' then 0 when n2.k = 'p' then 1 when n3.k = 'p' then 2 else 3 end) brace
+  from tk a join partner r on r.rid = a.rid and r.kind = '(' and r.i = a.i + 1 left join tk n1 on n1.rid = a.rid and n1.i = r.j + 1 left join tk n2 on n2.rid = a.rid and n2.i = r.j + 2 left join tk n3 on n3.rid = a.rid and n3.i = r.j + 3
+  where a.k in ('n', 'v') and a.family in ('c', 'plain')),
+braced as (select h.rid, h.i, h.name, h.brace first_, p.j last_ from heads_ h join partner p on p.rid = h.rid and p.kind = '{{' and p.i = h.brace),
+starts_ as (select a.rid, a.i, min(b.i) b from tk a join tk b on b.rid = a.rid and b.i > a.i and b.k = 'w' and b.v = 'begin' where a.family = 'pascal' and a.k = 'w' and a.v in ('procedure', 'function') group by all),
+begins as (select s.rid, s.i, s.b first_, p.j last_, coalesce((select arg_min(case when k = 'n' then x else '' end, i) from tk where tk.rid = s.rid and tk.i > s.i and tk.i < s.b and k in ('n', 'v')), '') as name from starts_ s left join partner p on p.rid = s.rid and p.kind = 'begin' and p.i = s.b),
+ln_ as (select rid, unnest(y) line, generate_subscripts(y, 1) i from (select rid, string_split(source, chr(10)) y from toks where family = 'python')),
+widths as (select *, length(regexp_extract(line, '^[ 	]*')) w, regexp_full_match(line, '{_BLANKS[:-1]}*') empty_, regexp_extract(line, '^({_BLANK_SET}*)(?:async{_BLANKS})?def{_BLANKS}([A-Za-z0-9_]+){_BLANK_SET}*\(', ['lead', 'name']) d from ln_),
+defs as (select a.rid, a.i, a.d.name as name, a.i first_, coalesce((select min(b.i) from widths b where b.rid = a.rid and b.i > a.i and not b.empty_ and b.w <= length(a.d.lead)), (select max(i) + 1 from ln_ c where c.rid = a.rid)) - 1 last_ from widths a where a.d.name <> ''),
+every_ as (select rid, i, name, first_, last_ from braced union all select rid, i, name, first_, last_ from begins union all select rid, i, name, first_, last_ from defs),
+acc(rid, i, name, first_, last_) as (select rid, min(i), arg_min(name, i), arg_min(first_, i), arg_min_null(last_, i) from every_ group by rid
+  union all select e.rid, min(e.i), arg_min(e.name, e.i), arg_min(e.first_, e.i), arg_min_null(e.last_, e.i) from acc join every_ e on e.rid = acc.rid and e.i > acc.last_ group by e.rid),
+bodies as (select acc.rid, acc.i, name, family, first_, last_ from acc join toks using (rid) where last_ is not null),
+pytexts as (select rid * 100000 + b.i rid, (select string_agg(line, chr(10) order by l.i) from ln_ l where l.rid = b.rid and l.i between b.first_ and b.last_) source from bodies b where family = 'python'),
+pylex as (select rid, regexp_extract_all(chr(10) || source, '{LEXEMES['python']}') l, 'python' family from pytexts),
+pytoks as (select rid, {_token('python')} t from pylex),
+funcs as (select b.rid, b.i, name, case when b.family = 'python' then (select {_VALUES} from pytoks p where p.rid = b.rid * 100000 + b.i) else (select {_VALUES} from toks where toks.rid = b.rid)[first_ + 1:last_ - 1] end body from bodies b)"""
+
+
 def pattern_of(family: str) -> re.Pattern:
     """The expression of a family for Python, to compare with the scanner's in tests."""
     return re.compile(LEXEMES[family].replace("''", "'").replace(r"\z", r"\Z"))
