@@ -56,6 +56,26 @@ def test_streams(spark, tmp_path):
     assert rows(spark.read.parquet(out).select("user_id", "event_type", "event_id")) == [(1, "a", 2), (1, "b", 3), (2, "b", 4)]
 
 
+@pytest.mark.parametrize("files", [0, 1, 3])
+def test_stream_queries_read_files_and_folders(spark, tmp_path, files):
+    import __spark_entry__ as e
+
+    def put(df, name):  # 0: the table is a file
+        df.repartition(files or 1).write.parquet(str(tmp_path / "made" / name))
+        parts = [str(p) for p in (tmp_path / "made" / name).glob("*.parquet")]
+        os.rename(str(tmp_path / "made" / name) if files else parts[0], tmp_path / f"{name}.parquet")
+
+    (tmp_path / "made").mkdir()
+    texts = [(n, "d", "c", "int a;", None) for n in range(6)] + [(9, "d", "c", None, None)]
+    put(spark.createDataFrame(texts, "rid bigint, domain_id string, lang string, code string, files_code string"), "submissions")
+    seen = [(n, f"2024-01-01 00:1{n}:00", n % 2, "a", 1.0) for n in range(6)]
+    put(spark.createDataFrame(seen, "event_id bigint, ts string, user_id bigint, event_type string, value double").withColumn("ts", F.col("ts").cast("timestamp_ntz")), "events")
+    run = lambda name: e.queries()[name](spark, str(tmp_path))
+    assert rows(run("stream_features").select("rid", "token_count")) == [(n, 3) for n in range(6)]
+    assert rows(run("stream_tumbling").select("n", "total")) == [(6, 6.0)]
+    assert rows(run("stream_latest").select("user_id", "event_id")) == [(0, 4), (1, 5)]
+
+
 def test_latest_events_over_batches(spark, tmp_path):
     ddl = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double"
     src, out = str(tmp_path / "in"), str(tmp_path / "out")
