@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from kinprint.functions.hashing import round4
 from kinprint.functions.metrics import dice
+from kinprint.operators import overlap
 from kinprint.operators.groups import SCOPE
 
 TRIVIAL_MEDIAN, TRIVIAL_PAIRS = 0.8, 10
@@ -49,12 +50,10 @@ def _counted(meetings: DataFrame, scope: list[str]) -> DataFrame:
 def overlapping_pairs(groups: DataFrame, scope: list[str] = SCOPE) -> DataFrame:
     """All pairs of groups of a scope with a common hash: rep1 < rep2, common, sim.
 
-    groups: scope columns, rep, fps (distinct values).  The join key is (scope, hash),
-    so a large problem is spread over all its hashes; counts combine before the shuffle.
+    groups: scope columns, rep, fps (distinct values).  Pairs are counted where both sets are
+    (operators/overlap), so the shuffle holds sets and not the meetings of their hashes.
     """
-    entries, sizes = _entries(groups, scope)
-    most = sizes.agg(F.max("df")).first()[0] or 0
-    return _counted(_meetings(entries, scope, sizes if most > BLOCK else None, lambda a, b: F.lit(True)), scope)
+    return overlap.common_counts(groups, scope).withColumn("sim", 2.0 * F.col("common") / (F.col("n1") + F.col("n2")))
 
 
 def pairs_at_least(groups: DataFrame, threshold: float, scope: list[str] = SCOPE, dense: int = DENSE) -> DataFrame:
@@ -93,10 +92,21 @@ def histogram(pairs: DataFrame, groups: DataFrame, scope: list[str] = SCOPE) ->
     Scopes of one group have no row.
     """
     seen = pairs.groupBy(*scope, F.least(F.lit(100), F.floor(F.col("sim") * 100 + 0.5)).cast("int").alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
+    return _with_rest(seen, groups, scope)
+
+
+def full_histogram(groups: DataFrame, scope: list[str] = SCOPE) -> DataFrame:
+    """histogram() of all pairs of groups, of which none is listed."""
+    seen = overlap.common_buckets(groups, scope).groupBy(*scope, "bucket").agg(F.sum("n").alias("n"))
+    return _with_rest(seen, groups, scope)
+
+
+def _with_rest(seen: DataFrame, groups: DataFrame, scope: list[str]) -> DataFrame:
     sizes = groups.groupBy(*scope).agg(F.count(F.lit(1)).alias("g"))
     zero = sizes.select(*scope, F.lit(0).alias("bucket"), F.expr("g * (g - 1) div 2").alias("n"))
-    rest = seen.select(*scope, F.lit(0).alias("bucket"), (-F.col("n")).alias("n"))
-    return seen.unionByName(zero).unionByName(rest).groupBy(*scope, "bucket").agg(F.sum("n").alias("n")).where(F.col("n") > 0)
+    # seen is read once: what it takes from bucket 0 stands beside it.
+    both = seen.select(*scope, F.explode(F.array(F.struct("bucket", "n"), F.struct(F.lit(0).alias("bucket"), (-F.col("n")).alias("n")))).alias("x")).select(*scope, "x.*")
+    return both.unionByName(zero).groupBy(*scope, "bucket").agg(F.sum("n").alias("n")).where(F.col("n") > 0)
 
 
 def medians(hist: DataFrame, scope: list[str] = SCOPE) -> DataFrame:
@@ -105,4 +115,4 @@ def medians(hist: DataFrame, scope: list[str] = SCOPE) -> DataFrame:
     return out.withColumn("trivial", (F.col("median") >= TRIVIAL_MEDIAN) & (F.col("n_pairs") >= TRIVIAL_PAIRS))
 
 
-__all__ = ["overlapping_pairs", "pairs_at_least", "histogram", "medians", "round4"]
+__all__ = ["overlapping_pairs", "pairs_at_least", "histogram", "full_histogram", "medians", "round4"]

@@ -39,11 +39,16 @@ medians as (select domain_id, tid, pid, any_value(total)::bigint n_pairs,
   (min(case when upto >= (total + 1) // 2 then bucket end) + min(case when upto >= total // 2 + 1 then bucket end)) / 2.0 / 100 median from run group by domain_id, tid, pid)"""
 
 
-def _docs(spark: SparkSession, folder: str) -> DataFrame:
-    """The latest submissions with their features, as the scan has them: cached ones, and the others lexed.  Written once."""
+def _featured(spark: SparkSession, folder: str) -> DataFrame:
+    """The latest submissions with their features, as the scan has them: cached ones, and the others lexed."""
     config = scan.ScanConfig()
     docs = scan.featured(scan.collect(table(spark, folder, "submissions"), config), table(spark, folder, "features"), config)
-    return Workspace(spark, "docs").write(docs.where(F.col("reason").isNull()))
+    return docs.where(F.col("reason").isNull())
+
+
+def _docs(spark: SparkSession, folder: str) -> DataFrame:
+    """Those submissions, written once."""
+    return Workspace(spark, "docs").write(_featured(spark, folder))
 
 
 def _groups(spark: SparkSession, folder: str, *carried: str) -> DataFrame:
@@ -51,8 +56,9 @@ def _groups(spark: SparkSession, folder: str, *carried: str) -> DataFrame:
 
 
 def _fps(spark: SparkSession, folder: str) -> DataFrame:
-    """Groups with their fingerprint sets, written once."""
-    return Workspace(spark, "fps").write(_groups(spark, folder, "hashes").select(*SCOPE, "rep", F.col("hashes").alias("fps")))
+    """Groups with their fingerprint sets, written once; the submissions are read once, so they need no table."""
+    groups = grouping.code_groups(_featured(spark, folder).select(*SCOPE, "rid", "code_hash", "hashes"), SCOPE, ("hashes",))
+    return Workspace(spark, "fps").write(groups.select(*SCOPE, "rep", F.col("hashes").alias("fps")))
 
 
 @query(f"with {GROUPS} select domain_id, tid, pid, code_hash, rep, n_docs from groups")
