@@ -94,8 +94,7 @@ def candidates(spark: SparkSession, folder: str) -> DataFrame:
 @query(f"with {HIST} select domain_id, tid, pid, bucket, n from hist")
 def sim_histogram(spark: SparkSession, folder: str) -> DataFrame:
     """Pairs of groups by similarity in hundredths, the pairs without overlap included."""
-    fps = _fps(spark, folder)
-    return simjoin.histogram(simjoin.overlapping_pairs(fps), fps)
+    return simjoin.full_histogram(_fps(spark, folder))
 
 
 @query(f"with {MEDIAN} select domain_id, tid, pid, n_pairs, median from medians")

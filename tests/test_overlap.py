@@ -1,3 +1,4 @@
+import os
 import random
 from collections import Counter
 from itertools import combinations
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 from kinprint.operators import overlap, simjoin
 from tests.conftest import rows
 
+SMALL = "/root/testdata/sf0.001"
 DDL = "domain_id string, tid string, pid bigint, rep bigint, fps array<bigint>"
 
 
@@ -81,3 +83,11 @@ def test_empty(spark):
     assert simjoin.overlapping_pairs(df).count() == 0 and simjoin.full_histogram(df).count() == 0
     df = spark.createDataFrame([("d", "t", 1, 1, []), ("d", "t", 1, 2, [])], DDL)
     assert simjoin.overlapping_pairs(df).count() == 0 and rows(simjoin.full_histogram(df).select("bucket", "n")) == [(0, 1)]
+
+
+@pytest.mark.skipif(not os.path.exists(SMALL), reason="needs the test tables")
+@pytest.mark.parametrize("name", ["sim_histogram"])
+def test_statistics_list_no_pairs(spark, name):
+    import __spark_entry__ as e
+
+    assert "rep1" not in plan(e.queries()[name](spark, SMALL))
