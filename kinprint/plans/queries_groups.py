@@ -100,8 +100,7 @@ def sim_histogram(spark: SparkSession, folder: str) -> DataFrame:
 @query(f"with {MEDIAN} select domain_id, tid, pid, n_pairs, median from medians")
 def sim_median(spark: SparkSession, folder: str) -> DataFrame:
     """Median similarity per problem."""
-    fps = _fps(spark, folder)
-    return simjoin.medians(simjoin.histogram(simjoin.overlapping_pairs(fps), fps)).drop("trivial")
+    return simjoin.medians(simjoin.full_histogram(_fps(spark, folder))).drop("trivial")
 
 
 @query(f"with {MEDIAN} select domain_id, tid, pid, median >= 0.8 and n_pairs >= 10 as trivial from medians")

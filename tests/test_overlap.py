@@ -86,7 +86,7 @@ def test_empty(spark):
 
 
 @pytest.mark.skipif(not os.path.exists(SMALL), reason="needs the test tables")
-@pytest.mark.parametrize("name", ["sim_histogram"])
+@pytest.mark.parametrize("name", ["sim_histogram", "sim_median"])
 def test_statistics_list_no_pairs(spark, name):
     import __spark_entry__ as e
 
