@@ -165,3 +165,10 @@ def test_sql_expressions_cut_like_the_scanner(text):
         kept = [x for x in found if x != "{" and not x.startswith((*_COMMENTS[family], *_DROPPED[family]))] if family == "pascal" else [x for x in found if not x.startswith((*_COMMENTS[family], *_DROPPED[family]))]
         got = [v for v in lex(text, family).values if not (family == "pascal" and v == "{")]
         assert len(kept) == len(got), (family, text)
+
+
+@pytest.mark.parametrize("family", ["c", "python", "pascal", "plain"])
+def test_blanks_between_lexemes(family):
+    assert lex(" \t\r\n\f\v", family).values == [] and lex("", family).values == []
+    assert lex("  a \f\v 1\t", family).values == lex("a 1", family).values == ["V", "N"]
+    assert lex(" \n  import b\n a", family).values == (["V"] if family in ("c", "python") else ["V", "V", "V"])
